@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_clean, queries_dedup, queries_tokens, queries_web
+from . import queries_clean, queries_dedup, queries_models, queries_tokens, queries_web
 
-_MODULES = [queries_web, queries_dedup, queries_tokens, queries_clean]
+_MODULES = [queries_models, queries_web, queries_dedup, queries_tokens, queries_clean]
 
 
 def queries() -> dict:
