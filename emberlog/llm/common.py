@@ -62,6 +62,17 @@ def discard(*frames: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Most keys of a broadcast filter; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def filtered_by_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """df joined left_semi or left_anti with written-out keys: broadcast up to BROADCAST_KEYS, else by shuffle."""
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, on, how)
+
+
 def word_array(text: Column, separators: str) -> Column:
     """Words of a text as an array: maximal runs outside the Java character class `separators`."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{separators}]+"), "")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, row_key, word_array
+from .common import ascii_lower, filtered_by_keys, materialize, row_key, word_array
 
 WINDOW = 13
 SHINGLE = 3
@@ -128,4 +128,4 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """docs without its contaminated rows, in its own columns."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
     bad = materialize(contamination(docs, items, id_col, text_col).filter("contaminated").select("k_id", "k_hash").distinct(), "bad")
-    return keyed.join(bad, ["k_id", "k_hash"], "left_anti").select("row.*")
+    return filtered_by_keys(keyed, bad, ["k_id", "k_hash"], "left_anti").select("row.*")

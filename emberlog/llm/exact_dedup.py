@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialize, partitions, row_key
+from .common import ascii_lower, discard, filtered_by_keys, materialize, partitions, row_key
 
 BLOCK_BYTES = 4096
 
@@ -128,8 +128,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without exact copies, in its own columns: one row of each group of equal texts."""
-    kept = exact_groups(docs, id_col, text_col, block_bytes).filter("kept").groupBy("k_id", "k_hash", "text_sha256").agg(F.lit(1).alias("one"))
-    kept = materialize(kept.dropDuplicates(["text_sha256", "k_id"]).select("k_id", "k_hash"), "kept")
+    rows = materialize(exact_groups(docs, id_col, text_col, block_bytes).select("kept", "text_sha256", "k_id", "k_hash"), "decisions")
+    key = ["k_id", "k_hash"]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
-    left = keyed.join(kept, ["k_id", "k_hash"], "left_semi").dropDuplicates(["k_id", "k_hash"])
-    return left.select("row.*")
+    rest = filtered_by_keys(keyed, materialize(rows.filter("not kept").select(*key).distinct(), "dropped"), key, "left_anti")
+    # rows of one id whose texts are equal: all are marked kept, one stays
+    again = rows.filter("kept").groupBy("text_sha256", "k_id").agg(F.count("*").alias("c"), F.min("k_hash").alias("k_hash")).filter("c > 1")
+    again = materialize(again.select("text_sha256", *key), "repeated")
+    if again.isEmpty():
+        return rest.select("row.*")
+    all_of = materialize(rows.join(again.select("text_sha256", "k_id"), ["text_sha256", "k_id"], "left_semi").select(*key).distinct(), "copies")
+    one = filtered_by_keys(rest, again.select(*key), key, "left_semi").dropDuplicates(key)
+    return filtered_by_keys(rest, all_of, key, "left_anti").unionByName(one).select("row.*")

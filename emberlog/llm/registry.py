@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import queries_clean, queries_dedup, queries_models, queries_tokens, queries_web
+import corpus_pipeline
 
-_MODULES = [queries_models, queries_web, queries_dedup, queries_tokens, queries_clean]
+from . import queries_clean, queries_dedup, queries_models, queries_scans, queries_tokens, queries_web
+
+_MODULES = [queries_models, queries_web, queries_scans, queries_dedup, queries_tokens, queries_clean]
 
 
 def queries() -> dict:
-    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
