@@ -6,12 +6,13 @@ divided into n1 partitions of n2 parts. With n1 = (k + 1) / (k2 + 1), some parti
 differing elements, so some n2 - k2 of its parts are the same in both sets: a signature is the hash of one
 such subset of parts, and sets that link share at least one. EXTRA more partitions guarantee EXTRA + 1
 shared ones, so a set may leave out up to EXTRA signatures that rest on hardly any element: what the other
-set shares with it beyond those remains.
+set shares with it beyond those remains. (EXTRA grows with k, and holds for both sets of a band.)
 
 Candidates of a signature aren't paired all with all: every member is verified against one representative,
 links give components, and only members still in different components meet again, with another
 representative, until few enough pairs are left to verify each of them. Links inside a component that is
-known already can't change the result. Verification is exact, on the shingle sets.
+known already can't change the result. Verification is exact: parity sketches, whose differing bits are
+never more than the sets' differing elements, rule out most pairs, and the others are compared as sets.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SHINGLE = 4
 #: Least similarity of linked sets, as parts of a hundred.
 PERCENT = 85
 BAND_RATIO = 1.35
-K2, N2, EXTRA = 1, 2, 2
-#: Elements that a signature must rest on to be worth more than EXTRA allows to leave out.
+K2, N2 = 1, 2
+#: Elements that a signature must rest on to be worth its row; others are left out as far as `extra` allows.
 LEAST_ELEMENTS = 2
 #: Word hashes that a worker keeps, and set identities that a task remembers.
 CACHE, SEEN = 500_000, 500_000
@@ -103,7 +104,7 @@ class Bands:
     def shape(self, band: int) -> tuple[int, int]:
         """Partitions of a band, and how many signatures a set may leave out."""
         k = self.differing(band)
-        extra = EXTRA if k >= 8 else 0
+        extra = k // 10 if k >= 20 else 2 if k >= 8 else 0
         return -(-(k + 1) // (K2 + 1)) + extra, extra
 
 
@@ -130,7 +131,7 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
                 made[j] = _mix(made[j] * _M1 + total[:, c])
                 held[j] += count[:, c]
         weak = held < LEAST_ELEMENTS
-        # of EXTRA + 1 shared signatures, in different partitions, at most `extra` can be missing
+        # of extra + 1 shared signatures, in different partitions, at most `extra` can be missing
         out.append(made[~weak] if weak.sum() <= extra else made.ravel())
     return np.concatenate(out)
 
@@ -139,12 +140,30 @@ def _identity(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes()) >> 1
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of the elements' counts in a power of two of buckets, at least as many as elements."""
+    m = 1 << max(6, len(x).bit_length())
+    at = (_mix(x * _M3) & np.uint64(m - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def sketches_differ(p: bytes, q: bytes) -> int:
+    """Bits in which two sketches differ, the larger folded to the size of the smaller."""
+    if len(p) < len(q):
+        p, q = q, p
+    a, bits, to = int.from_bytes(p, "little"), 8 * len(p), 8 * len(q)
+    while bits > to:
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ int.from_bytes(q, "little")).bit_count()
+
+
 def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for b in batches:
         for s in range(0, b.num_rows, 512):
             part = b.slice(s, 512)
-            n, ident, sigs = [], [], []
+            n, ident, sigs, marks = [], [], [], []
             for text in part.column(1).to_pylist():
                 x = shingle_set(text, k)
                 n.append(len(x))
@@ -153,11 +172,13 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterat
                     if len(seen) < SEEN:
                         seen.add(ident[-1])
                     sigs.append(signatures(x, bands).view(np.int64))
+                    marks.append(sketch(x))
                 else:
                     sigs.append(np.empty(0, np.int64))
+                    marks.append(None)
             ends = np.cumsum([0, *map(len, sigs)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ident, pa.int64()), flat], ["doc_id", "n", "node", "sigs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ident, pa.int64()), flat, pa.array(marks, pa.binary())], ["doc_id", "n", "node", "sigs", "mark"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -180,18 +201,48 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; each side's sets are shuffled to the pairs once."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = []
+        for n, m, p, q in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+            most = (n + m) * (100 - percent) // (100 + percent)
+            keep.append(100 * min(n, m) >= percent * max(n, m) and sketches_differ(p, q) <= most)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+class _Texts:
+    """What verification reads: each node's sketch, and its set from the text of one document that has it."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, shingle: int, percent: int):
+        self.texts, self.nodes, self.shingle, self.percent = texts, nodes, shingle, percent
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets link."""
+        percent, shingle = self.percent, self.shingle
 
-    def task(batches):
-        yield from _verify(batches, percent)
+        def plausible(batches):
+            yield from _plausible(batches, percent)
 
-    return both.mapInArrow(task, "a long, b long")
+        def to_sets(batches):
+            yield from _sets(batches, shingle)
 
+        def verify(batches):
+            yield from _verify(batches, percent)
 
-def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+        side = lambda x, n, m: self.nodes.select(F.col("node").alias(x), F.col("n").alias(n), F.col("mark").alias(m))
+        both = pairs.join(side("a", "na", "ma"), "a").join(side("b", "nb", "mb"), "b").select("a", "b", "na", "nb", "ma", "mb")
+        left = materialize(both.mapInArrow(plausible, "a long, b long"), "plausible")
+        ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = materialize(self.nodes.join(ends, "node", "left_semi").select("doc_id").distinct(), "wanted")
+        sets = materialize(filtered_by_keys(self.texts, wanted, ["doc_id"], "left_semi").select("text").mapInArrow(to_sets, "node long, items binary"), "items")
+        full = left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+        full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+        out = materialize(full.mapInArrow(verify, "a long, b long"), "links")
+        discard(left, sets)
+        return out
+
+
+def _components(members: DataFrame, texts: _Texts) -> DataFrame:
     """(node, component) of every node that has a link; members: (sig, node), signatures with several nodes."""
     links, parts, live = None, None, members.withColumn("comp", F.col("node"))
     for number in range(STAR_ROUNDS + 1):
@@ -211,7 +262,7 @@ def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             head = materialize(live.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), order).alias("head")), "heads")
             pairs = live.join(head, "sig").filter("comp <> head.comp").select(F.col("node").alias("a"), F.col("head.node").alias("b"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = materialize(_linked(pairs, sets, percent), "links")
+        new = texts.linked(pairs)
         links = new if links is None else links.unionByName(new)
         parts = materialize(connected_components(links, "a", "b"), "parts")
         if every:
@@ -225,7 +276,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct word
     shingles; equal sets always link, empty sets (null, empty or blank texts) link with nothing and are their
-    own component. Rows without an id take part in links but never name a component; alone, theirs is null.
+    own component. Rows without an id aren't compared, except that an equal set's component is theirs too; else theirs is null.
     Rows with equal ids and different texts are judged apart. An empty table gives an empty result. Other
     columns are not read. Sets are told apart by 63-bit hashes.
     """
@@ -234,24 +285,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def describe(batches):
         yield from _describe(batches, shingle, bands)
 
-    def to_sets(batches):
-        yield from _sets(batches, shingle)
-
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    described = materialize(texts.mapInArrow(describe, "doc_id long, n long, node long, sigs array<long>"), "described")
+    described = materialize(texts.mapInArrow(describe, "doc_id long, n long, node long, sigs array<long>, mark binary"), "described")
     by_sig = Window.partitionBy("sig")
     rows = described.select(F.explode("sigs").alias("sig"), "node")
     shared = rows.withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).filter("lo <> hi")
     members = materialize(shared.select("sig", "node").distinct(), "members")
     flat = materialize(described.drop("sigs"), "sets")
     discard(described)
-    wanted = members.select("node").distinct()
-    first = materialize(
-        flat.filter("doc_id is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "involved"
-    )
-    involved = filtered_by_keys(texts, first, ["doc_id"], "left_semi")
-    sets = materialize(involved.select("text").mapInArrow(to_sets, "node long, items binary").dropDuplicates(["node"]), "items")
-    parts = _components(members, sets, percent)
+    # one document for each node in question, never one without an id
+    known = flat.filter("doc_id is not null and node is not null").join(members.select("node").distinct(), "node", "left_semi")
+    nodes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("mark").alias("mark")), "nodes")
+    parts = _components(members, _Texts(texts, nodes, shingle, percent))
     rooted = flat.join(parts, "node", "left").withColumn("root", F.coalesce("component", "node")).select("doc_id", "n", "root")
     rooted = materialize(rooted, "rooted")
     names = materialize(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("name")), "names")
