@@ -179,6 +179,9 @@ PARTS = {
     "sample_events": "SELECT raw_line, level, component, message, block_id, event_time FROM raw ORDER BY event_time, raw_line LIMIT 20",
     "event_time_range": "SELECT min(event_time) AS first_event, max(event_time) AS last_event FROM raw",
     "raw_log_events": "SELECT * FROM raw",
+    "stream_parse": "SELECT * FROM raw",
+    "stream_windowed": "SELECT * FROM wm",
+    "stream_incidents": "SELECT * FROM si",
     "windows_count": "SELECT count(*) AS window_rows FROM wm",
     "windowed_metrics": "SELECT * FROM wm",
     "latest_windows": f"SELECT {_W} FROM wm ORDER BY window_start DESC, block_id LIMIT 20",

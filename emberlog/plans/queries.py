@@ -11,6 +11,10 @@ from ..functions import ordered
 from ..functions.scalars import average, f1, percent, ratio
 from ..operators import behavior, episodes, evaluation, evidence, star, windows
 from ..operators.evaluation import is_anomaly, is_normal, thresholds
+from ..sources import log_lines
+from ..sources.replay import envelopes
+from ..sources.scratch import scratch_path
+from ..streaming import job
 from .store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,3 +679,30 @@ def rca_sample(s):
 @query
 def rca_episode_purity(s):
     return evidence.labelled_purity(s.members, s.labels, EPISODE)
+
+
+# -- streaming, run over what is there ----------------------------------------------------------------
+
+
+def _streamed(s, name, schema):
+    out, inbox, checkpoints = (scratch_path(s.spark, x) for x in ("stream", "inbox", "checkpoints"))
+    lines = log_lines.synthetic_lines(s.spark.read.parquet(f"{s.sf_dir}/events.parquet")).select("raw_line")
+    envelopes(lines).write.text(inbox)
+    for q in job.run(job.read_folder(s.spark, inbox), out, checkpoints, once=True):
+        q.awaitTermination()
+    return job.stored(s.spark, f"{out}/{name}", schema.replace("timestamp_ntz", "timestamp"))
+
+
+@query
+def stream_parse(s):
+    return log_lines.at_rest(_streamed(s, "raw_events", log_lines.RAW_SCHEMA)).drop("batch_id")
+
+
+@query
+def stream_windowed(s):
+    return log_lines.at_rest(job.latest(_streamed(s, "windowed_metrics", log_lines.WINDOW_SCHEMA)))
+
+
+@query
+def stream_incidents(s):
+    return log_lines.at_rest(job.latest(_streamed(s, "incidents", log_lines.INCIDENT_SCHEMA)).drop("detected_at"))
