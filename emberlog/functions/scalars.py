@@ -21,14 +21,22 @@ def ratio(n: Column | str, d: Column | str) -> Column:
     return as_column(n).cast("double") / F.nullif(as_column(d).cast("double"), F.lit(0.0))
 
 
+#: Added before rounding, so that a decimal tie that binary fractions miss goes up on every engine.
+NUDGE = 1e-9
+
+
+def rounded(x: Column, places: int) -> Column:
+    return F.round(x + F.lit(NUDGE), places)
+
+
 def percent(n: Column | str, d: Column | str, places: int = 2) -> Column:
-    return F.round(F.lit(100.0) * as_column(n).cast("double") / F.nullif(as_column(d).cast("double"), F.lit(0.0)), places)
+    return rounded(F.lit(100.0) * as_column(n).cast("double") / F.nullif(as_column(d).cast("double"), F.lit(0.0)), places)
 
 
 def f1(precision: Column, recall: Column, places: int = 4) -> Column:
     """Harmonic mean of two shares; null where either is null or both are 0."""
-    return F.round(F.lit(2.0) * precision * recall / F.nullif(precision + recall, F.lit(0.0)), places)
+    return rounded(F.lit(2.0) * precision * recall / F.nullif(precision + recall, F.lit(0.0)), places)
 
 
 def average(c: Column | str, places: int) -> Column:
-    return F.round(F.avg(c), places)
+    return rounded(F.avg(c), places)

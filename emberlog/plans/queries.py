@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.scalars import average, f1, percent, ratio
+from ..functions.scalars import average, f1, percent, ratio, rounded
 from ..operators import behavior, episodes, evaluation, evidence, star, windows
 from ..operators.evaluation import is_anomaly, is_normal, thresholds
 from ..sources import log_lines
@@ -436,7 +436,7 @@ def derived_by_label(s):
 
 @query
 def feature_percentiles(s):
-    at = lambda c, p, places: F.round(F.percentile(c, F.lit(p)), places)
+    at = lambda c, p, places: rounded(F.percentile(c, F.lit(p)), places)
     return s.labelled(s.derived).groupBy("label").agg(
         at("events_per_second", 0.25, 4).alias("eps_p25"), at("events_per_second", 0.5, 4).alias("eps_median"), at("events_per_second", 0.75, 4).alias("eps_p75"),
         at("active_duration_seconds", 0.25, 2).alias("duration_p25"), at("active_duration_seconds", 0.5, 2).alias("duration_median"), at("active_duration_seconds", 0.75, 2).alias("duration_p75"),
@@ -559,7 +559,7 @@ def incident_timeline(s):
 def gap_summary(s):
     g = F.col("gap_seconds")
     return s.timeline.agg(
-        F.count("*").alias("incidents"), F.min(g).alias("min_gap_seconds"), F.round(F.avg(g), 2).alias("avg_gap_seconds"), F.median(g).alias("median_gap_seconds"), F.max(g).alias("max_gap_seconds"),
+        F.count("*").alias("incidents"), F.min(g).alias("min_gap_seconds"), average("gap_seconds", 2).alias("avg_gap_seconds"), F.median(g).alias("median_gap_seconds"), F.max(g).alias("max_gap_seconds"),
         _n(g <= 60).alias("within_60_sec"), _n(g > 60).alias("over_60_sec"),
     )
 
