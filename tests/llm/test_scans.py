@@ -1,0 +1,105 @@
+import hashlib
+import re
+
+from emberlog.llm import decontaminate, licenses, secrets, url_filter
+from emberlog.llm.forest import predict
+from emberlog.llm.queries_web import RULES
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOW))
+
+
+def expected(docs, items, n=13):
+    wins = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - n + 1) if w else 0):
+            wins.setdefault(tuple(w[i : i + n]), set()).add(item)
+    out = []
+    for doc, text in docs:
+        w, hit, own = words(text), set(), set()
+        for size in {len(k) for k in wins}:
+            for i in range(len(w) - size + 1):
+                found = wins.get(tuple(w[i : i + size]))
+                if found:
+                    hit |= set(range(i, i + size))
+                    own |= {str(x) for x in found if x is not None}
+        out.append((doc, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+def test_contamination(spark, empty):
+    a = " ".join(f"w{i}" for i in range(30))
+    b = " ".join(f"v{i}" for i in range(13))
+    items = [(1, a), (2, b), (30, "two Words"), (4, "one"), (5, None), (6, "--- "), (7, a.upper()), (None, "lonely item")]
+    long = " ".join(f"x{i}" for i in range(20_000))
+    docs = [
+        (1, a), (2, "pre " + a[: len(a) // 2] + " post"), (3, b + " " + b), (4, "has two, words and one"), (5, None), (6, ""), (7, "w1 w2 w3 w4"), (8, long + " " + b),
+        (9, long), (10, " ".join(f"w{i}" for i in range(12))), (11, "a lonely-item here"), (12, "one one one"), (3, b + " " + b), (None, a),
+    ]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(d, i).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(map(tuple, got), key=str) == expected(docs, items)
+    left = {r.doc_id for r in decontaminate.clean(d, i).collect()}
+    assert left == {r[0] for r in expected(docs, items) if not r[5]}
+    assert decontaminate.contamination(empty, i).count() == 0
+    assert all(r.n_hit == 0 for r in decontaminate.contamination(d, i.limit(0)).collect())
+
+
+def test_urls(spark, empty):
+    page = lambda href="", meta="": f"<html><link rel='canonical' href='{href}'>" * bool(href) + f'<meta http-equiv="refresh" content="0; url={meta}">' * bool(meta)
+    rows = [
+        (1, "http://A.Example.org/es/1?q", None), (2, "http://example.org/en/12", ""), (3, "https://b.com/fr/", ""), (4, "http://b.com/de/x#y", ""), (5, "http://other.net/x", page("http://b.com/de/x")),
+        (6, "http://other.net/y", page(meta="/x")), (7, "http://third.net/", page("http://q.org/p")), (8, "http://mix.net/a", page("http://b.com/de/z", "http://q.org/p")), (9, None, None), (10, "no scheme", ""),
+        (11, "x://Xorg/en", ""), (12, "http://org", ""), (1, "http://A.Example.org/es/1?q", None),
+    ]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert got == {
+        1: ("a.example.org", "/es/1", "example.org/es/", "block"), 2: ("example.org", "/en/12", "example.org/en/1", "block"), 3: ("b.com", "/fr/", "com/fr/", "allow"), 4: ("b.com", "/de/x", "com/de/", "block"),
+        5: ("other.net", "/x", None, "block"), 6: ("other.net", "/y", None, "block"), 7: ("third.net", "/", None, "allow"), 8: ("mix.net", "/a", None, "allow"),  # an allowed alias takes precedence
+        9: ("", "", None, "allow"), 10: ("", "", None, "allow"), 11: ("xorg", "/en", None, "allow"), 12: ("org", "", None, "allow"),
+    }
+    redirects = spark.createDataFrame([("http://third.net/", "http://b.com/de/k")], "src_url string, dst_url string")
+    far = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame([(1, "http://third.net/", "")], "page_id long, url string, html string"), RULES, redirects).collect()}
+    assert far == {1: "block"}
+    assert url_filter.filter_urls(empty.selectExpr("doc_id page_id", "text url", "lang html"), RULES).count() == 0
+
+
+def test_licences(spark, docs, rows, empty):
+    texts = ["Some prose.\nReleased under the MIT License.\nmore", "licensed under the apache license version 2 0", "Licensed under\nthe Apache License,\nVersion 2.0.\n\nrest", "the mit is a school", None, "", "License"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_passages, r.licences) for r in licenses.licences(df).collect()}
+    assert got == {0: (1, "MIT"), 1: (1, "Apache-2.0"), 2: (1, "Apache-2.0"), 3: (0, ""), 4: (0, ""), 5: (0, ""), 6: (0, "")}
+    assert licenses.licences(docs).count() == len(rows) and licenses.licences(empty).count() == 0
+
+
+def test_secrets(spark, docs, rows, empty):
+    key = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    texts = [
+        f'prose token = "{key}" and more', f"commit: {key}", "path: data/server/config/module/file.html", "api_key = your_api_key_here", "password = changeme_example_1234",
+        "aws sk_live_9aZk3LmQ0pXr7TtB2vYwC5d", None, "", "plain words only " * 500, f"secret: '{key}' secret: '{key}'",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.secrets for r in secrets.secrets(df).collect()}
+    assert got == {0: [key], 1: [], 2: [], 3: [], 4: [], 5: ["sk_live_9aZk3LmQ0pXr7TtB2vYwC5d"], 6: [], 7: [], 8: [], 9: [key]}
+    assert secrets.secrets(docs).count() == len(rows) and secrets.secrets(empty).count() == 0
+
+
+def test_forest_expression_equals_its_trees(spark):
+    import numpy as np
+
+    forest = secrets.train(spark)
+    made = secrets.made_findings(300, seed=99)
+    df = spark.createDataFrame(made, "key_name string, candidate string, label int")
+    from pyspark.sql import functions as F
+
+    from emberlog.llm.forest import as_sql
+
+    got = secrets.with_features(df).withColumn("score", F.expr(as_sql(forest, secrets.FEATURES))).collect()
+    x = np.array([[r[n] for n in secrets.FEATURES] for r in got], float)
+    assert np.allclose([r.score for r in got], predict(forest, x), atol=1e-5)
+    assert np.mean([(r.score >= 0.5) == r.label for r in got]) > 0.93  # findings it was not trained on
