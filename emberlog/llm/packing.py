@@ -4,8 +4,8 @@ Documents are tokenised once, in the task that reads them, and packed there, so
 multiples of the sequence size leave a document as full sequences. The remainders gather in cells of
 CELL_WINDOWS windows; each cell is divided by multiway differencing: every piece starts as a partition with
 one loaded window, and the two partitions of the largest spread are merged with their loads in opposite
-order until one is left. Where a window exceeds the capacity, the window count of the cell rises by one and
-the cell is divided again. A cell and its window loads are bounded by parameters, never by the input.
+order until one is left. The window count rises with the cell's total; what a near-equal window has beyond
+the capacity is cut off and fills the lightest windows. A cell is bounded by parameters, never by the input.
 
 A sequence id is the task's number times 2**33 plus a running number, so ids are unique and the same on a
 second attempt.
@@ -27,8 +27,6 @@ from .tokens import Encoder
 
 SEQUENCE = 2048
 CELL_WINDOWS = 96
-#: Part of a cell's capacity that is left free, so that near-equal windows seldom exceed it.
-SLACK = 0.004
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -68,15 +66,35 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     return groups
 
 
-def divide(sizes: list[int], capacity: int) -> list[list[int]]:
-    """As few near-equal windows as differencing needs for no window to exceed the capacity."""
-    total = sum(sizes)
-    windows = max(1, -(-total // capacity))
-    while True:
-        groups = differencing(sizes, windows)
-        if all(sum(sizes[i] for i in g) <= capacity for g in groups):
-            return [g for g in groups if g]
-        windows += 1
+def divide(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of (index, start, length), none over the capacity: differencing, then cuts.
+
+    The window count is the least that the total needs; it rises with every window that the capacity would be
+    exceeded without. What differencing puts into a window beyond its capacity is cut off and fills the room
+    of the lightest windows, so that only the last window of a total can stay partly empty.
+    """
+    windows = max(1, -(-sum(sizes) // capacity))
+    out, tails = [], []
+    for group in differencing(sizes, windows):
+        load, parts = 0, []
+        for i in sorted(group, key=lambda i: -sizes[i]):
+            take = min(sizes[i], capacity - load)
+            if take:
+                parts.append((i, 0, take))
+            if take < sizes[i]:
+                tails.append((i, take, sizes[i] - take))
+            load += take
+        out.append([load, parts])
+    out.sort(key=lambda w: w[0])
+    for window in out:
+        while tails and window[0] < capacity:
+            i, start, length = tails.pop()
+            take = min(length, capacity - window[0])
+            window[1].append((i, start, take))
+            window[0] += take
+            if take < length:
+                tails.append((i, start + take, length - take))
+    return [parts for _, parts in out if parts]
 
 
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, sequence: int, cell: int) -> Iterator[pa.RecordBatch]:
@@ -85,7 +103,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, sequence: int, cell
     rows: list[tuple] = []
     held: list[tuple] = []  # doc_id, start, ids, doc_tokens
     load = 0
-    room = int(sequence * cell * (1 - SLACK))
+    room = sequence * cell
     schema = pa.schema([pa.field(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
     def piece(doc_id, start, ids, total, seq, offset):
@@ -95,9 +113,10 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, sequence: int, cell
         nonlocal number
         for group in divide([len(x[2]) for x in held], sequence):
             at = 0
-            for i in group:
-                piece(*held[i], number, at)
-                at += len(held[i][2])
+            for i, start, length in group:
+                doc_id, first, ids, total = held[i]
+                piece(doc_id, first + start, ids[start : start + length], total, number, at)
+                at += length
             number += 1
         held.clear()
 

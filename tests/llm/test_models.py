@@ -83,10 +83,16 @@ def test_packing_round_trip(docs, rows, empty):
 def test_divide():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 40, 300):
-        sizes = rng.integers(1, 1025, n).tolist()
-        groups = packing.divide(sizes, 2048)
-        assert sorted(i for g in groups for i in g) == list(range(n))
-        assert all(sum(sizes[i] for i in g) <= 2048 for g in groups)
+        sizes = rng.integers(1, 2048, n).tolist()
+        windows = packing.divide(sizes, 2048)
+        parts = sorted(p for w in windows for p in w)
+        for i, size in enumerate(sizes):
+            at = 0
+            for _, start, length in [p for p in parts if p[0] == i]:
+                assert start == at and length > 0
+                at += length
+            assert at == size
+        assert all(sum(x[2] for x in w) <= 2048 for w in windows) and len(windows) == -(-sum(sizes) // 2048)
     assert packing.divide([], 2048) == []
     assert len(packing.differencing([4, 5, 6, 7, 8], 2)) == 2
 
