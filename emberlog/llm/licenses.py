@@ -1,10 +1,11 @@
 """Licence scan: Dice coefficient over word bigrams between passages and licence templates.
 
-A passage is a line, or a paragraph (lines between blank ones) of several lines. Words are runs of letters,
-digits and inner dots of the A-Z lower-cased text. With n distinct bigrams, only templates whose size lies
-within t / (2 - t) * n and (2 - t) / t * n can reach a coefficient of t; passages outside the bounds of every
-template are never cut into bigrams, and a template is met only through a bigram that it shares. The template
-table is a fixed parameter, so its broadcast is bounded.
+A passage is a line, or a paragraph (lines between blank ones) of several lines. Words are runs of 0-9, a-z
+and non-ASCII characters of the A-Z lower-cased text. With n distinct bigrams, only templates whose size lies
+within t / (2 - t) * n and (2 - t) / t * n can reach a coefficient of t; so a passage of fewer words is never
+cut into bigrams, and a template must share at least t / (2 - t) of its own. The bigrams of all passages are
+generated and joined with the templates' in one stage; only passages that pass this bound are read again for
+the coefficient. The template table is a fixed parameter, so its broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, row_key, word_array
+from .common import ascii_lower, filtered_by_keys, materialize, row_key, word_array
 
 DICE = 0.75
 #: Licence identifiers and short notices by which they are announced.
@@ -41,20 +42,25 @@ TEMPLATES = [
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
 
-def bigrams(words: str) -> Column:
-    """Distinct bigrams of an array of words, as structs; of a single word, that word with null."""
+def _zipped(words: str) -> Column:
+    """Neighbouring words as structs; of a single word, that word with null."""
     w = F.col(words)
     rest = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
     n = F.greatest(F.size(w) - 1, F.least(F.size(w), F.lit(1)))
-    return F.array_distinct(F.slice(F.arrays_zip(w.alias("a"), rest.alias("b")), 1, n))
+    return F.slice(F.arrays_zip(w.alias("a"), rest.alias("b")), 1, n)
+
+
+def bigrams(words: str) -> Column:
+    """Distinct bigrams of an array of words, as texts."""
+    return F.array_distinct(F.transform(_zipped(words), lambda z: F.concat_ws("\t", z["a"], z["b"])))
 
 
 def template_bigrams(spark, templates: list[tuple[str, str]]) -> DataFrame:
-    """(template, licence, size, pair): one row per distinct bigram of a template."""
+    """(template, licence, size, pairs): one row per template."""
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "template int, licence string, text string")
     rows = rows.select("template", "licence", word_array(ascii_lower(F.col("text")), SEPARATORS).alias("words"))
     rows = rows.select("template", "licence", bigrams("words").alias("pairs"))
-    return rows.select("template", "licence", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
+    return rows.select("template", "licence", F.size("pairs").alias("size"), "pairs")
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,19 +83,21 @@ def licence_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of equal coefficients the template that comes first wins.
     """
     table = materialize(template_bigrams(docs.sparkSession, templates), "templates")
-    low, high = table.agg(F.min("size"), F.max("size")).first()
-    n = F.size("words")
-    least, most = dice / (2 - dice) * (low or 0), (2 - dice) / dice * (high or 0)
-    # a passage of n words has n - 1 bigrams at most; repeats only lower the count, so the upper bound waits for it
-    found = passages(docs, id_col, text_col).filter((n >= least) & (n > 0))
-    found = found.select("k_id", "k_hash", "kind", "number", bigrams("words").alias("pairs"))
-    found = found.withColumn("n", F.size("pairs")).filter((F.col("n") >= least) & (F.col("n") <= most))
-    rows = found.select("k_id", "k_hash", "kind", "number", "n", F.explode("pairs").alias("q"))
-    met = rows.join(F.broadcast(table), F.col("q") == F.col("pair"))
-    met = met.filter((F.col("size") >= F.col("n") * (dice / (2 - dice))) & (F.col("size") <= F.col("n") * ((2 - dice) / dice)))
+    least = dice / (2 - dice)
+    smallest = table.agg(F.min("size")).first()[0] or 0
     place = ["k_id", "k_hash", "kind", "number"]
-    scored = met.groupBy(*place, "n", "template", "licence", "size").agg((F.count_distinct("pair") * 2).alias("twice"))
-    scored = scored.withColumn("dice", F.col("twice") / (F.col("n") + F.col("size"))).filter(F.col("dice") >= dice)
+    pairs = table.select("template", "size", F.explode("pairs").alias("pair"))
+    keys = pairs.select("template", "size", F.xxhash64("pair").alias("h"))
+    # a passage of n words has n - 1 bigrams at most
+    rows = passages(docs, id_col, text_col).filter((F.size("words") >= least * smallest) & (F.size("words") > 0))
+    rows = rows.select(*place, F.explode(_zipped("words")).alias("z")).select(*place, F.xxhash64(F.concat_ws("\t", "z.a", "z.b")).alias("h"))
+    met = rows.join(F.broadcast(keys), "h").groupBy(*place, "template", "size").agg(F.count_distinct("h").alias("shared"))
+    near = materialize(met.filter(F.col("shared") >= least * F.col("size") - 1e-9).select(*place, "template"), "near")
+    again = filtered_by_keys(docs.select(F.col(id_col), F.col(text_col), *row_key(id_col, text_col)), near.select("k_id", "k_hash").distinct(), ["k_id", "k_hash"], "left_semi")
+    found = passages(again, id_col, text_col).join(near, place).join(F.broadcast(table), "template").withColumn("own", bigrams("words"))
+    found = found.withColumn("n", F.size("own")).filter((F.col("size") >= F.col("n") * least) & (F.col("n") >= F.col("size") * least))
+    twice = F.size(F.array_intersect("own", "pairs")) * 2
+    scored = found.withColumn("dice", twice / (F.col("n") + F.col("size"))).filter(F.col("dice") >= dice)
     first = F.row_number().over(Window.partitionBy(*place).orderBy(F.desc("dice"), "template"))
     return scored.withColumn("rank", first).filter("rank = 1").select(*place, "licence", "dice")
 
