@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, filtered_by_keys, materialize, row_key
 from .graph import connected_components
 
-SHINGLE = 5
+SHINGLE = 8
 SIMILARITY = 0.8
-BANDS, ROWS = 6, 2
+#: A pair of the least similarity is a candidate with probability 1 - (1 - 0.8**3)**8 = 0.997. Unrelated lines
+#: are one with a probability that falls with ROWS; on much larger corpora raise it, and BANDS with it.
+BANDS, ROWS = 8, 3
 #: Rounds in which members of a band that aren't connected yet meet another representative.
 ROUNDS = 3
 
@@ -62,10 +64,11 @@ def _bands(signed: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have the similarity, by exact Jaccard."""
-    sets = texts.select("id", F.array_distinct(F.transform(_starts(F.col("norm")), lambda i: F.substring("norm", i, F.lit(SHINGLE)))).alias("x"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+    """Pairs (a, b) whose shingle sets have the similarity, by exact Jaccard of the lines themselves."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
+    shingles = lambda c: F.array_distinct(F.transform(_starts(F.col(c)), lambda i: F.xxhash64(F.substring(c, i, F.lit(SHINGLE)))))
+    both = both.select("a", "b", shingles("x").alias("xa"), shingles("y").alias("xb"))
     common = F.size(F.array_intersect("xa", "xb"))
     return both.filter(common >= similarity * (F.size("xa") + F.size("xb") - common) - 1e-9).select("a", "b")
 
@@ -79,7 +82,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).filter("lo <> hi").select("band", "id"), "bands"
     )
     wanted = materialize(members.select("id").distinct(), "candidates")
-    texts = materialize(filtered_by_keys(lines.select("id", "norm"), wanted, ["id"], "left_semi").groupBy("id").agg(F.min("norm").alias("norm")), "lines")
+    texts = materialize(filtered_by_keys(lines.select("id", "norm"), wanted, ["id"], "left_semi").distinct(), "lines")
     links, parts, live = None, None, members.withColumn("comp", F.col("id"))
     for number in range(ROUNDS):
         heads = live.groupBy("band").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(number))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
