@@ -34,11 +34,11 @@ SHINGLE = 4
 #: Least similarity of linked sets, as parts of a hundred.
 PERCENT = 85
 BAND_RATIO = 1.35
-K2, N2 = 1, 2
+K2, N2 = 1, 3
 #: Elements that a signature must rest on to be worth its row; others are left out as far as `extra` allows.
-LEAST_ELEMENTS = 2
+LEAST_ELEMENTS = 3
 #: Word hashes that a worker keeps, and set identities that a task remembers.
-CACHE, SEEN = 500_000, 500_000
+CACHE, SEEN = 150_000, 300_000
 STAR_ROUNDS = 4
 #: Pairs for each member row that the last, exhaustive round may verify before more star rounds are tried.
 PAIRS_PER_ROW = 4
@@ -104,7 +104,7 @@ class Bands:
     def shape(self, band: int) -> tuple[int, int]:
         """Partitions of a band, and how many signatures a set may leave out."""
         k = self.differing(band)
-        extra = k // 10 if k >= 20 else 2 if k >= 8 else 0
+        extra = k // 8
         return -(-(k + 1) // (K2 + 1)) + extra, extra
 
 
@@ -130,9 +130,10 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
             for c in chosen:
                 made[j] = _mix(made[j] * _M1 + total[:, c])
                 held[j] += count[:, c]
-        weak = held < LEAST_ELEMENTS
-        # of extra + 1 shared signatures, in different partitions, at most `extra` can be missing
-        out.append(made[~weak] if weak.sum() <= extra else made.ravel())
+        # The highest level whose weak signatures a set may leave out. Of the extra + 1 shared signatures, two
+        # sets lack those below the higher of their levels, and that set lacks at most `extra` in all.
+        level = next((v for v in range(LEAST_ELEMENTS, 0, -1) if (held < v).sum() <= extra), 0)
+        out.append(made[held >= level])
     return np.concatenate(out)
 
 
