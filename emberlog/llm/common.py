@@ -63,7 +63,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 #: Most keys of a broadcast filter; more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 300_000
 
 
 def filtered_by_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:

@@ -13,7 +13,7 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept by one Python worker at most.
-CACHE = 200_000
+CACHE = 120_000
 #: The tokenizer's pattern for texts whose letters are ASCII or Latin-1 and Latin Extended,
 #: whose digits are ASCII and whose white space is space, tab and line ends.
 SAFE = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ‐-‧‰-⁞₠-₿]*")

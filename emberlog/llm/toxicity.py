@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out, training_rows
 
 #: Most labelled rows that a model is fitted on.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 5000
 THRESHOLD = 0.7
 LENGTH, DECAY, MAX_GAP = 3, 0.55, 2
 LANDMARKS = 128
@@ -38,7 +38,7 @@ FOLDS = 3
 WIDTH = 28
 BITS = 18
 #: Word scores that a worker keeps at most.
-CACHE = 300_000
+CACHE = 80_000
 TOP = 5
 WORD = re.compile(r"[^\W_]+")
 SPREAD = re.compile(r"(?<![^\W_])[^\W\d_](?:[\W_]{1,2}[^\W\d_](?![^\W_])){2,}")
@@ -211,20 +211,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
             bags = [distinct_words(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bags, pa.list_(pa.string()))], ["d_id", "label", "bag"])
 
-    found = training_rows(docs, labels, "toxic", rows).mapInArrow(task, "d_id long, label int, bag array<string>").collect()
-    found.sort(key=lambda r: (r[0], r[1], r[2]))
-    return ToxicityModel().fit([r[2] for r in found], np.array([r[1] for r in found], float))
+    found = training_rows(docs, labels, "toxic", rows).mapInArrow(task, "d_id long, label int, bag array<string>").toArrow()
+    known: dict[str, str] = {}  # each word is held once
+    one = known.setdefault
+    bags = [(i, y, [one(w, w) for w in bag.as_py()]) for i, y, bag in zip(*(found.column(c).to_pylist() if c < 2 else found.column(c) for c in range(3)), strict=True)]
+    del found
+    bags.sort()
+    return ToxicityModel().fit([b[2] for b in bags], np.array([b[1] for b in bags], float))
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
-    known: dict[str, float] = {}
+def _score_batches(batches: Iterator[pa.RecordBatch], model: ToxicityModel, known: dict[str, float]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in range(0, b.num_rows, 256):
             part = b.slice(s, 256)
             bags = [list(dict.fromkeys(words_of(t.as_py() or ""))) for t in part.column(2)]
             new = list(dict.fromkeys(w for bag in bags for w in bag if w not in known))
             if len(known) + len(new) > CACHE:
-                known = {}
+                known.clear()
                 new = list(dict.fromkeys(w for bag in bags for w in bag))
             known.update(zip(new, model.machine.score(new).tolist(), strict=True))
             get = known.__getitem__
@@ -241,7 +244,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
 
     def task(batches):
-        yield from _score_batches(batches, model)
+        yield from _score_batches(batches, model, {})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(task, "doc_id long, held_out boolean, score double")
@@ -252,11 +255,14 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     """docs without its toxic rows, in its own columns; rows are judged and passed on in one pass."""
 
     def task(batches):
+        known: dict[str, float] = {}
         for b in batches:
-            texts = b.column(names.index(text_col))
-            probe = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.bool_()), texts], ["doc_id", "held_out", "text"])
-            keep = [x < threshold for part in _score_batches(iter([probe]), model) for x in part.column(2).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            for s in range(0, b.num_rows, 1024):
+                part = b.slice(s, 1024)
+                texts = part.column(names.index(text_col))
+                probe = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.bool_()), texts], ["doc_id", "held_out", "text"])
+                keep = [x < threshold for y in _score_batches(iter([probe]), model, known) for x in y.column(2).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     names = docs.columns
     return docs.mapInArrow(task, docs.schema)
