@@ -3,9 +3,11 @@
 A line's features are its shingles of SHINGLE bytes (of the trimmed, A-Z lower-cased UTF-8 line). Signatures
 are minima of the shingles' hashes under BANDS * ROWS xor masks, taken by one partial aggregation over shingle
 rows, so that repeated lines meet before the shuffle and no text is shuffled. Lines that agree on the ROWS
-minima of a band are candidates; each is verified by exact Jaccard against one representative of its band,
-and a distributed union-find joins the verified pairs. One line of each component stays: the first by
-document id and line number.
+minima of a band are candidates; they are verified by exact Jaccard, first against one representative of
+their band, and a distributed union-find joins the verified pairs. After ROUNDS representatives all pairs of a
+band that still lie in different components are verified. Parity sketches, whose differing bits are never more
+than the sets' differing shingles, rule out most pairs before a text is read. One line of each component
+stays: the first by document id and line number.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, filtered_by_keys, materialize, row_key
+from .common import ascii_lower, discard, filtered_by_keys, materialize, row_key
 from .graph import connected_components
 
 SHINGLE = 8
@@ -21,8 +23,14 @@ SIMILARITY = 0.8
 #: A pair of the least similarity is a candidate with probability 1 - (1 - 0.8**3)**8 = 0.997. Unrelated lines
 #: are one with a probability that falls with ROWS; on much larger corpora raise it, and BANDS with it.
 BANDS, ROWS = 8, 3
-#: Rounds in which members of a band that aren't connected yet meet another representative.
+#: Rounds in which members of a band that aren't connected yet meet another representative; all pairs left follow.
 ROUNDS = 3
+#: Pairs for each member row that the last round may have for it to come before ROUNDS are over.
+PAIRS_PER_ROW = 4
+#: Members of a band that one share of its pairs holds on its left side.
+BLOCK = 1000
+#: Words of 64 bits of a parity sketch.
+SKETCH = 4
 
 
 def _masks(count: int) -> list[int]:
@@ -63,12 +71,46 @@ def _bands(signed: DataFrame) -> DataFrame:
     return signed.select(F.explode(F.array(*each)).alias("band"), F.struct("h", "g").alias("id"))
 
 
+def _shingles(norm: str) -> Column:
+    return F.array_distinct(F.transform(_starts(F.col(norm)), lambda i: F.xxhash64(F.substring(norm, i, F.lit(SHINGLE)))))
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """(id, n, sketch): how many shingles a line has, and the parities of their counts in 64 * SKETCH buckets."""
+    word = "aggregate(x, 0L, (a, v) -> a ^ if(((v >> 6) & {m}) = {i}, shiftleft(1L, cast(v & 63 AS int)), 0L))"
+    words = [F.expr(word.format(m=SKETCH - 1, i=i)).alias(f"w{i}") for i in range(SKETCH)]
+    return texts.select("id", _shingles("norm").alias("x")).select("id", F.size("x").alias("n"), F.struct(*words).alias("sketch"))
+
+
+def _plausible(p: str, q: str, similarity: float) -> Column:
+    """Whether two members can have the similarity, by the sizes and sketches of their sets."""
+    n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
+    differing = sum((F.bit_count(F.col(f"{p}.sketch.w{i}").bitwiseXOR(F.col(f"{q}.sketch.w{i}"))) for i in range(SKETCH)), F.lit(0))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (differing <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
+def _to_heads(live: DataFrame, number: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members with the representative of their band in this round."""
+    heads = materialize(live.groupBy("band").agg(F.min_by("one", F.xxhash64("one.id", F.lit(number))).alias("head")), "heads")
+    pairs = live.join(heads, "band").filter("one.comp <> head.comp").filter(_plausible("one", "head", similarity))
+    return pairs.select(F.least("one.id", "head.id").alias("a"), F.greatest("one.id", "head.id").alias("b")).distinct()
+
+
+def _all_pairs(live: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of all members of a band in different components; crowded bands are dealt over shares."""
+    shares = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
+    dealt = live.join(materialize(shares, "shares"), "band")
+    left = dealt.select("band", "one", F.pmod(F.xxhash64("one.id"), F.col("shares")).alias("share"))
+    right = dealt.select("band", F.col("one").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    pairs = left.join(right, ["band", "share"]).filter("one.id < other.id and one.comp <> other.comp")
+    return pairs.filter(_plausible("one", "other", similarity)).select(F.col("one.id").alias("a"), F.col("other.id").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose shingle sets have the similarity, by exact Jaccard of the lines themselves."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    shingles = lambda c: F.array_distinct(F.transform(_starts(F.col(c)), lambda i: F.xxhash64(F.substring(c, i, F.lit(SHINGLE)))))
-    both = both.select("a", "b", shingles("x").alias("xa"), shingles("y").alias("xb"))
+    both = both.select("a", "b", _shingles("x").alias("xa"), _shingles("y").alias("xb"))
     common = F.size(F.array_intersect("xa", "xb"))
     return both.filter(common >= similarity * (F.size("xa") + F.size("xb") - common) - 1e-9).select("a", "b")
 
@@ -83,20 +125,27 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     wanted = materialize(members.select("id").distinct(), "candidates")
     texts = materialize(filtered_by_keys(lines.select("id", "norm"), wanted, ["id"], "left_semi").distinct(), "lines")
-    links, parts, live = None, None, members.withColumn("comp", F.col("id"))
-    for number in range(ROUNDS):
-        heads = live.groupBy("band").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(number))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        heads = materialize(heads.filter("lo <> hi").select("band", "head"), "heads")
-        pairs = live.join(heads, "band").filter("comp <> head.comp").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
-        new = materialize(_verified(pairs, texts, similarity), "pairs")
-        if number and new.isEmpty():
+    sketches = materialize(_sketched(texts), "sketches")
+    links, parts = None, None
+    for number in range(ROUNDS + 1):
+        known = sketches.withColumn("comp", F.col("id")) if parts is None else sketches.join(parts, "id", "left").select("id", "n", "sketch", F.coalesce("root", "id").alias("comp"))
+        live = members.join(known, "id").select("band", F.struct("id", "comp", "n", "sketch").alias("one"))
+        spread = live.groupBy("band", "one.comp").count().groupBy("band").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
+        spread = materialize(spread.filter("m * m > own"), "open")
+        rows_left, pairs_left = spread.agg(F.sum("m"), F.sum((F.col("m").cast("double") * F.col("m") - F.col("own")) / 2)).first()
+        if not pairs_left and parts is not None:
             break
+        live = materialize(live.join(spread.select("band"), "band", "left_semi"), "live")
+        every = number == ROUNDS or number and pairs_left <= PAIRS_PER_ROW * rows_left
+        new = materialize(_verified(_all_pairs(live, similarity) if every else _to_heads(live, number, similarity), texts, similarity), "pairs")
+        discard(live, spread)
         links = new if links is None else links.unionByName(new)
         key = lambda c: F.concat_ws(":", f"{c}.h", f"{c}.g").alias(c)
         flat = connected_components(links.select(key("a"), key("b")), "a", "b")
         back = lambda c: F.struct(F.split_part(c, F.lit(":"), F.lit(1)).cast("long").alias("h"), F.split_part(c, F.lit(":"), F.lit(2)).cast("long").alias("g"))
         parts = materialize(flat.select(back(F.col("node")).alias("id"), back(F.col("component")).alias("root")), "parts")
-        live = members.join(parts, "id", "left").select("band", "id", F.coalesce("root", "id").alias("comp"))
+        if every:
+            break
     return parts
 
 

@@ -125,3 +125,34 @@ def test_near_lines_are_found(spark):
     cut = lambda t: {t.encode()[i : i + 8] for i in range(len(t) - 7)}
     want = {i + 1 for i in range(0, 80, 2) if (lambda a, b: len(a & b) >= 0.8 * len(a | b))(cut(lines[i]), cut(lines[i + 1]))}
     assert gone == want
+
+
+def test_crowded_bands_against_brute_force(spark, monkeypatch):
+    """One band of hundreds of clusters: every similar pair that shares it ends in one class."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "BANDS", 1)
+    monkeypatch.setattr(line_dedup, "ROWS", 1)
+    rng = random.Random(4)
+    common = "this boilerplate line of the shop says that the order was sent to its address and is on its way with number "
+    lines = []
+    for _ in range(300):
+        line = common + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+        lines += [line, line[:-1] + "#"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    numbered = line_dedup.lines_of(docs, "doc_id", "text")
+    ids = {r.id: r.doc_id for r in numbered.select("id", "doc_id").collect()}
+    bands = defaultdict(list)
+    for r in line_dedup._bands(line_dedup._signatures(numbered)).collect():
+        bands[r.band].append(ids[r.id])
+    sets = [{t.encode()[i : i + line_dedup.SHINGLE] for i in range(len(t) - line_dedup.SHINGLE + 1)} for t in lines]
+    root = list(range(len(lines)))
+    for members in bands.values():
+        for a, b in combinations(sorted(members), 2):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                low_root, high_root = sorted((root[a], root[b]))
+                root = [low_root if r == high_root else r for r in root]
+    want = {i for i, r in enumerate(root) if r != i}
+    assert max(map(len, bands.values())) > 200 and len(want) > 200
+    assert {r.doc_id for r in line_dedup.dropped_lines(docs).collect() if r.n_dropped} == want
