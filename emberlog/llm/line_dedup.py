@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, discard, filtered_by_keys, materialize, row_key
 from .graph import connected_components
 
-SHINGLE = 8
+SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of the least similarity is a candidate with probability 1 - (1 - 0.8**3)**8 = 0.997. Unrelated lines
 #: are one with a probability that falls with ROWS; on much larger corpora raise it, and BANDS with it.
