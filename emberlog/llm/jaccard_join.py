@@ -161,22 +161,28 @@ def sketches_differ(p: bytes, q: bytes) -> int:
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
+    unmarked: set[int] = set()  # sets whose first row has no id: their next row with one carries the sketch
     for b in batches:
         for s in range(0, b.num_rows, 512):
             part = b.slice(s, 512)
             n, ident, sigs, marks = [], [], [], []
-            for text in part.column(1).to_pylist():
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 x = shingle_set(text, k)
                 n.append(len(x))
                 ident.append(_identity(x) if len(x) else None)
                 if len(x) and ident[-1] not in seen:  # copies within a task have signatures once
                     if len(seen) < SEEN:
                         seen.add(ident[-1])
+                        if doc is None:
+                            unmarked.add(ident[-1])
                     sigs.append(signatures(x, bands).view(np.int64))
                     marks.append(sketch(x))
                 else:
                     sigs.append(np.empty(0, np.int64))
-                    marks.append(None)
+                    named = doc is not None and ident[-1] in unmarked
+                    marks.append(sketch(x) if named else None)
+                    if named:
+                        unmarked.discard(ident[-1])
             ends = np.cumsum([0, *map(len, sigs)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs), pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ident, pa.int64()), flat, pa.array(marks, pa.binary())], ["doc_id", "n", "node", "sigs", "mark"])

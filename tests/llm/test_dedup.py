@@ -165,3 +165,11 @@ def test_one_edit_in_a_line_of_sixty_bytes(spark):
     near = line[:30] + "/" + line[31:]
     docs = spark.createDataFrame([(1, line), (2, near)], "doc_id long, text string")
     assert {r.doc_id: r.n_dropped for r in line_dedup.dropped_lines(docs).collect()} == {1: 0, 2: 1}
+
+
+def test_copy_without_id_comes_first(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (2, text), (1, text + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = jaccard_join.jaccard_classes(docs).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == [("1", 1), ("2", 1), ("None", 1)]
