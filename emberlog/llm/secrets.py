@@ -19,9 +19,9 @@ from .common import materialize, row_key
 from .forest import as_sql, grow
 
 THRESHOLD = 0.5
-#: A candidate with up to 24 characters before it: the name and sign of an assignment, or a bare run.
-FINDING = r"(?:[A-Za-z0-9_\-.]{2,30}[\"']?[ \t]{0,2}(?:=|:)[ \t]{0,2}[\"']?[A-Za-z0-9+/_\-.=~]{8,200})|(?:(?<![A-Za-z0-9+/_\-.=])[A-Za-z0-9+/_\-.]{20,200}={0,2})"
-PARTS = r"^(?:([A-Za-z0-9_\-.]{2,30})[\"']?[ \t]{0,2}(?:=|:)[ \t]{0,2}[\"']?)?(.*)$"
+#: The name and sign of an assignment with its value, a quoted one up to the next such quote of its line, or a bare run.
+FINDING = r"""(?:[A-Za-z0-9_\-.]{2,30}["']?[ \t]{0,2}[=:][ \t]{0,2}(?:"[^"\n]{8,}+"|'[^'\n]{8,}+'|["']?[A-Za-z0-9+/_\-.=~]{8,}+))|(?:(?<![A-Za-z0-9+/_\-.=])[A-Za-z0-9+/_\-.]{20,}+={0,2})"""
+PARTS = r"""^(?:([A-Za-z0-9_\-.]{2,30})["']?[ \t]{0,2}[=:][ \t]{0,2})?(?:"([^"\n]{8,}+)"|'([^'\n]{8,}+)'|["']?([^"'\n]{8,}+))$"""
 #: Words of names that hold credentials, of places that don't, of stand-ins, and of a dictionary.
 NAME_WORDS = "token|secret|passw|passwd|pwd|api_?key|apikey|access_?key|private|credential|auth|bearer"
 OTHER_WORDS = "sha|md5|hash|commit|digest|checksum|rev|uuid|guid|version|build|path|file|url|href|src|class|title|name|date|time|id|page|host"
@@ -72,6 +72,25 @@ def with_features(df: DataFrame, name: str = "key_name", value: str = "candidate
     return out.withColumn("others", 1 - F.col("digits") - F.col("uppers") - F.col("lowers"))
 
 
+def made_long_and_quoted(count: int = 800, seed: int = 13) -> list[tuple[str, str, int]]:
+    """Labelled findings as of made_findings, of long tokens and of quoted values with punctuation."""
+    rng = np.random.default_rng(seed)
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    run = lambda chars, n: "".join(chars[i] for i in rng.integers(0, len(chars), n))
+    words = lambda sep, n: sep.join(pick(DICTIONARY.split("|")) for _ in range(n))
+    mixed = string.ascii_letters + string.digits
+    good = ["token", "secret", "api_key", "password", "passwd", "auth_token", "client_secret", "db_password"]
+    bad = ["title", "class", "content", "name", "said", "href", "style", "path", "alt", ""]
+    out = []
+    for _ in range(count // 4):
+        size = int(np.exp(rng.uniform(np.log(80), np.log(3000))))
+        out.append((pick([*good, ""]), run(mixed + pick(["", "+/", "-_."]), size), 1))
+        out.append((pick(good), run(mixed + "&!@#$%^*?", int(rng.integers(8, 25))), 1))
+        out.append((pick(bad), words(" ", int(rng.integers(3, 40))) + pick(["", ".", "!"]), 0))
+        out.append((pick(bad), pick([words("/", int(rng.integers(12, 200))), words("-", int(rng.integers(12, 200))), run(string.digits, size)]), 0))
+    return out
+
+
 def made_findings(count: int = TRAIN_FINDINGS, seed: int = 11) -> list[tuple[str, str, int]]:
     """Labelled findings (name before it or '', candidate, 1 for a secret) from a seeded rule."""
     rng = np.random.default_rng(seed)
@@ -121,7 +140,7 @@ def _forest(session: int, findings: tuple) -> list:
 
 def train(spark: SparkSession, findings: list[tuple[str, str, int]] | None = None) -> list:
     """Forest trained on labelled findings: (name before it, candidate, label)."""
-    return _forest(id(spark), tuple(findings or made_findings()))
+    return _forest(id(spark), tuple(findings or made_findings() + made_long_and_quoted()))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,7 +148,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(FINDING), F.lit(0))
     rows = docs.select(*row_key(id_col, text_col), F.posexplode(found).alias("number", "found"))
     part = lambda i: F.regexp_extract("found", PARTS, i)
-    return rows.select("k_id", "k_hash", "number", part(1).alias("key_name"), part(2).alias("candidate"))
+    return rows.select("k_id", "k_hash", "number", part(1).alias("key_name"), F.concat(part(2), part(3), part(4)).alias("candidate"))
 
 
 def findings(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

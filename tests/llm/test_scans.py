@@ -103,3 +103,17 @@ def test_forest_expression_equals_its_trees(spark):
     x = np.array([[r[n] for n in secrets.FEATURES] for r in got], float)
     assert np.allclose([r.score for r in got], predict(forest, x), atol=1e-5)
     assert np.mean([(r.score >= 0.5) == r.label for r in got]) > 0.93  # findings it was not trained on
+
+
+def test_long_and_quoted_secrets(spark):
+    """Tokens and quoted values are taken whole, and equal heads don't make equal secrets."""
+    import random
+
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    a, b, c = token(201), token(2000), token(40)
+    head = token(200)
+    texts = [f"token = {a}", f"prose {b} and more", 'password = "Tr0ub4dor&3xyzQ"', 'password = "P@ssw0rd!2024"', f"token = {head}x7 token = {head}Q9", f"api_key = '{c}&{c}'"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.secrets for r in secrets.secrets(df).collect()}
+    assert got == {0: [a], 1: [b], 2: ["Tr0ub4dor&3xyzQ"], 3: ["P@ssw0rd!2024"], 4: sorted([head + "x7", head + "Q9"]), 5: [f"{c}&{c}"]}
