@@ -12,7 +12,7 @@ import string
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, row_key
@@ -35,14 +35,17 @@ DICTIONARY = (
 )
 FEATURES = [
     "length", "digits", "uppers", "lowers", "others", "runs", "letters_kinds", "covered", "slashes", "dots", "is_hex", "is_number",
-    "named", "good_name", "other_name", "stand_in", "has_equals",
+    "named", "good_name", "other_name", "stand_in", "has_equals", "good_before", "other_before", "good_after", "other_after",
 ]
+#: Characters on each side of a finding, up to the next finding, of which the nearest WORDS_NEAR words are neighbours.
+NEAR, WORDS_NEAR = 60, 3
 #: Findings made for training.
 TRAIN_FINDINGS = 4000
 
 
-def with_features(df: DataFrame, name: str = "key_name", value: str = "candidate") -> DataFrame:
-    """Adds the columns FEATURES, from the candidate and the name before it."""
+def with_features(df: DataFrame, name: str = "key_name", value: str = "candidate", before: str | None = None, after: str | None = None) -> DataFrame:
+    """Adds the columns FEATURES, from the candidate, the name before it and the neighbouring words, if given."""
+    near = {side: F.lower(F.coalesce(F.col(c), F.lit(""))) if c else F.lit("") for side, c in (("before", before), ("after", after))}
     v, low = F.col(value), F.lower(F.col(value))
     size = F.greatest(F.length(v), F.lit(1)).cast("double")
     kinds = F.translate(v, string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
@@ -68,6 +71,9 @@ def with_features(df: DataFrame, name: str = "key_name", value: str = "candidate
         "stand_in": flags(low, STAND_INS),
         "has_equals": flags(v, "=$"),
     }
+    for side, text in near.items():
+        made[f"good_{side}"] = flags(text, f"(^| )({NAME_WORDS.replace('_?', '[ _]?')})")
+        made[f"other_{side}"] = flags(text, f"(^| )({OTHER_WORDS})[0-9]*($| )")
     out = df.withColumns(made)
     return out.withColumn("others", 1 - F.col("digits") - F.col("uppers") - F.col("lowers"))
 
@@ -130,30 +136,64 @@ def made_findings(count: int = TRAIN_FINDINGS, seed: int = 11) -> list[tuple[str
     return out
 
 
+def made_in_context(count: int = 2000, seed: int = 17) -> list[tuple[str, str, int, str, str]]:
+    """Labelled findings with the words before and after them; those of bare runs tell secrets from digests."""
+    rng = np.random.default_rng(seed)
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    run = lambda chars, n: "".join(chars[i] for i in rng.integers(0, len(chars), n))
+    plain = lambda: " ".join(pick(["the", "and", "in", "of", "was", "this", "we", "then", "see", "it"]) for _ in range(int(rng.integers(0, 4))))
+    good = ["authorization bearer", "bearer", "token", "password is", "api key", "secret key", "auth token", "the secret", "credential", "private key"]
+    other = ["commit", "sha256", "md5", "checksum", "at revision hash", "the commit", "digest sha1", "version", "build", "uuid"]
+    out = []
+    for i in range(count):
+        secret = i % 2
+        value = run("0123456789abcdef", int(pick([32, 40, 40, 64])))
+        words = pick(good if secret else other)
+        sides = (words, plain()) if rng.random() < 0.75 else (plain(), pick(["is the ", "as ", ""]) + words)
+        out.append(("", value, secret, *sides))
+    # the rest of the findings stand in words that say nothing
+    return out + [(*row, plain(), plain()) for row in made_findings() + made_long_and_quoted()]
+
+
 @lru_cache(maxsize=4)
 def _forest(session: int, findings: tuple) -> list:
     spark = SparkSession.getActiveSession()
-    rows = with_features(spark.createDataFrame(list(findings), "key_name string, candidate string, label int")).select("label", *FEATURES).collect()
+    rows = [(*row, "", "")[:5] for row in findings]
+    made = spark.createDataFrame(rows, "key_name string, candidate string, label int, before string, after string")
+    rows = with_features(made, before="before", after="after").select("label", *FEATURES).collect()
     rows = np.array(sorted(tuple(r) for r in rows), float)
     return grow(rows[:, 1:], rows[:, 0])
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, int]] | None = None) -> list:
-    """Forest trained on labelled findings: (name before it, candidate, label)."""
-    return _forest(id(spark), tuple(findings or made_findings() + made_long_and_quoted()))
+def train(spark: SparkSession, findings: list[tuple] | None = None) -> list:
+    """Forest trained on labelled findings: (name before it, candidate, label), or these and the words before and after."""
+    return _forest(id(spark), tuple(findings or made_in_context()))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k_id, k_hash, number, key_name, candidate) of each document, by number of occurrence."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(FINDING), F.lit(0))
-    rows = docs.select(*row_key(id_col, text_col), F.posexplode(found).alias("number", "found"))
-    part = lambda i: F.regexp_extract("found", PARTS, i)
-    return rows.select("k_id", "k_hash", "number", part(1).alias("key_name"), F.concat(part(2), part(3), part(4)).alias("candidate"))
+    """(k_id, k_hash, number, key_name, candidate, before, after) of each document, by number of occurrence.
+
+    before and after hold the nearest words, as far as the neighbouring findings.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(*row_key(id_col, text_col), text.alias("text"), F.regexp_extract_all(text, F.lit(FINDING), F.lit(0)).alias("all")).filter("size(all) > 0")
+    # piece i ends where finding i begins, piece i + 1 begins where it ends
+    rows = base.select("k_id", "k_hash", F.posexplode(F.arrays_zip("all", *_around(F.split("text", FINDING)))).alias("number", "found")).filter("found.all is not null")
+    part = lambda i: F.regexp_extract("found.all", PARTS, i)
+    return rows.select("k_id", "k_hash", "number", part(1).alias("key_name"), F.concat(part(2), part(3), part(4)).alias("candidate"), "found.before", "found.after")
+
+
+def _around(pieces: Column) -> tuple[Column, Column]:
+    words = lambda c: F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: w != "")
+    join = lambda c: F.array_join(F.slice(c, 1, WORDS_NEAR), " ")
+    before = F.transform(pieces, lambda p: F.array_join(F.reverse(F.slice(F.reverse(words(F.right(p, F.lit(NEAR)))), 1, WORDS_NEAR)), " "))
+    after = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: join(words(F.left(p, F.lit(NEAR)))))
+    return before.alias("before"), after.alias("after")
 
 
 def findings(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(k_id, k_hash, number, key_name, candidate, score, secret) of every candidate."""
-    scored = with_features(candidates(docs, id_col, text_col)).withColumn("score", F.expr(as_sql(forest, FEATURES)))
+    scored = with_features(candidates(docs, id_col, text_col), before="before", after="after").withColumn("score", F.expr(as_sql(forest, FEATURES)))
     return scored.select("k_id", "k_hash", "number", "key_name", "candidate", "score", (F.col("score") >= threshold).alias("secret"))
 
 

@@ -117,3 +117,10 @@ def test_long_and_quoted_secrets(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.secrets for r in secrets.secrets(df).collect()}
     assert got == {0: [a], 1: [b], 2: ["Tr0ub4dor&3xyzQ"], 3: ["P@ssw0rd!2024"], 4: sorted([head + "x7", head + "Q9"]), 5: [f"{c}&{c}"]}
+
+
+def test_neighbouring_words_of_bare_runs(spark):
+    key, other = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e", "9b1c79e8bf7c55a59c4958dd60e283d2ef8cd4e1"
+    texts = [f"Authorization: Bearer {key}", f"see commit {key} of it", f"the api key {key} and commit {other} here", f"Bearer {key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.secrets for r in secrets.secrets(df).collect()} == {0: [key], 1: [], 2: [key], 3: [key]}
