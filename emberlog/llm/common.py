@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +35,15 @@ def row_key(doc_id: str, text: str) -> list[Column]:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; set here only where the session leaves it unset."""
+    """Folder that driver and executors share.
+
+    A session that leaves it unset gets a machine-local one only in local mode, where driver and executors are one
+    process; on a cluster executors would not see one another's files, so that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file:///tmp/checkpoints/emberlog-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -62,7 +69,17 @@ def discard(*frames: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: Most keys of a broadcast filter; more are joined by shuffle.
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's heap is collected, which a driver that only plans rarely is; between the phases
+    of an operator, whose results are written out, the files of a phase would otherwise stay beside the next one's.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Most keys of a broadcast filter (a few tens of MB at most); more are joined by shuffle.
 BROADCAST_KEYS = 300_000
 
 

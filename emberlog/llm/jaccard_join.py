@@ -4,15 +4,16 @@ A document's set holds the hashes of its word shingles. Sets fall into size band
 wanted similarity differ in at most k elements, where k depends on the band alone. The feature domain is
 divided into n1 partitions of n2 parts. With n1 = (k + 1) / (k2 + 1), some partition holds at most k2 of the
 differing elements, so some n2 - k2 of its parts are the same in both sets: a signature is the hash of one
-such subset of parts, and sets that link share at least one. EXTRA more partitions guarantee EXTRA + 1
-shared ones, so a set may leave out up to EXTRA signatures that rest on hardly any element: what the other
-set shares with it beyond those remains. (EXTRA grows with k, and holds for both sets of a band.)
-
-Candidates of a signature aren't paired all with all: every member is verified against one representative,
-links give components, and only members still in different components meet again, with another
-representative, until few enough pairs are left to verify each of them. Links inside a component that is
-known already can't change the result. Verification is exact: parity sketches, whose differing bits are
-never more than the sets' differing elements, rule out most pairs, and the others are compared as sets.
+such subset of parts, and sets that link share at least one. `extra` more partitions guarantee extra + 1
+shared ones, so a set may leave out up to `extra` signatures by a rule that both sets follow alike. Part of
+them are those that rest on hardly any element; the others, `spare`, are those that most sets have, as the
+signatures that rest on a passage alone which many documents quote. A rule leaves out what is beyond a
+threshold; of the signatures that two sets share, the set with the stricter threshold lacks all that the
+other lacks, and it lacks no more than its allowance, so one remains.
+
+Sets that share a signature are candidates (cluster.py). Verification is exact: parity sketches, whose
+differing bits are never more than the sets' differing elements, rule out most pairs, and the others are
+compared as sets.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, filtered_by_keys, materialize
-from .graph import connected_components
+from .cluster import SKETCH, classes, hot_keys, shared_keys
+from .common import discard, filtered_by_keys, materialize, release, row_key
 
 SHINGLE = 4
 #: Least similarity of linked sets, as parts of a hundred.
@@ -37,11 +38,12 @@ BAND_RATIO = 1.35
 K2, N2 = 1, 3
 #: Elements that a signature must rest on to be worth its row; others are left out as far as `extra` allows.
 LEAST_ELEMENTS = 3
+#: Documents that share a signature which may be left out for being frequent.
+FREQUENT = 16
+#: One document in so many tells which signatures are so frequent that their rows are dealt over tasks.
+SAMPLE = 16
 #: Word hashes that a worker keeps, and set identities that a task remembers.
-CACHE, SEEN = 150_000, 300_000
-STAR_ROUNDS = 4
-#: Pairs for each member row that the last, exhaustive round may verify before more star rounds are tried.
-PAIRS_PER_ROW = 4
+CACHE, SEEN = 100_000, 200_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -101,11 +103,15 @@ class Bands:
         t = int(np.searchsorted(self._starts, size, "right")) - 1
         return [t, t + 1] if Fraction(size) / self.gamma >= self.starts[t + 1] else [t]
 
-    def shape(self, band: int) -> tuple[int, int]:
-        """Partitions of a band, and how many signatures a set may leave out."""
+    def shape(self, band: int) -> tuple[int, int, int]:
+        """Partitions of a band, and how many signatures a set may leave out: as weak ones, as frequent ones."""
         k = self.differing(band)
-        extra = k // 8
-        return -(-(k + 1) // (K2 + 1)) + extra, extra
+        extra = k // 6
+        return -(-(k + 1) // (K2 + 1)) + extra, extra - extra // 2, extra // 2
+
+    def spare(self, size: int) -> int:
+        """How many frequent signatures a set of this size may leave out, whichever band a partner has in common."""
+        return min(self.shape(band)[2] for band in self.of(size))
 
 
 def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
@@ -115,7 +121,7 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
         if bands.differing(band) == 0:
             out.append(_mix(np.array([x.sum()], np.uint64) + np.array([band], np.uint64) * _M1))
             continue
-        n1, extra = bands.shape(band)
+        n1, weak, _ = bands.shape(band)
         parts = n1 * N2
         at = ((_mix(x ^ np.uint64(band)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         total = np.zeros(parts, np.uint64)
@@ -130,9 +136,8 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
             for c in chosen:
                 made[j] = _mix(made[j] * _M1 + total[:, c])
                 held[j] += count[:, c]
-        # The highest level whose weak signatures a set may leave out. Of the extra + 1 shared signatures, two
-        # sets lack those below the higher of their levels, and that set lacks at most `extra` in all.
-        level = next((v for v in range(LEAST_ELEMENTS, 0, -1) if (held < v).sum() <= extra), 0)
+        # the highest level whose weak signatures the set may leave out
+        level = next((v for v in range(LEAST_ELEMENTS, 0, -1) if (held < v).sum() <= weak), 0)
         out.append(made[held >= level])
     return np.concatenate(out)
 
@@ -141,9 +146,9 @@ def _identity(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes()) >> 1
 
 
-def sketch(x: np.ndarray) -> bytes:
-    """Parities of the elements' counts in a power of two of buckets, at least as many as elements."""
-    m = 1 << max(6, len(x).bit_length())
+def sketch(x: np.ndarray, buckets: int | None = None) -> bytes:
+    """Parities of the elements' counts in a power of two of buckets, by default at least as many as elements."""
+    m = buckets or 1 << max(6, len(x).bit_length())
     at = (_mix(x * _M3) & np.uint64(m - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -159,40 +164,43 @@ def sketches_differ(p: bytes, q: bytes) -> int:
     return (a ^ int.from_bytes(q, "little")).bit_count()
 
 
+DESCRIBED = "doc_id long, k_id string, k_hash long, n long, node long, spare int, sigs array<long>, mark binary, " + ", ".join(f"{w} long" for w in SKETCH)
+
+
 def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, k_id, k_hash, text) as DESCRIBED; of equal sets of a task, the first has signatures and sketch."""
     seen: set[int] = set()
-    unmarked: set[int] = set()  # sets whose first row has no id: their next row with one carries the sketch
     for b in batches:
         for s in range(0, b.num_rows, 512):
             part = b.slice(s, 512)
-            n, ident, sigs, marks = [], [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                x = shingle_set(text, k)
+            n, ident, spare, sigs, marks, words = [], [], [], [], [], []
+            for text in part.column(3):
+                x = shingle_set(text.as_py(), k)
                 n.append(len(x))
                 ident.append(_identity(x) if len(x) else None)
-                if len(x) and ident[-1] not in seen:  # copies within a task have signatures once
+                if len(x) and ident[-1] not in seen:
                     if len(seen) < SEEN:
                         seen.add(ident[-1])
-                        if doc is None:
-                            unmarked.add(ident[-1])
+                    spare.append(bands.spare(len(x)))
                     sigs.append(signatures(x, bands).view(np.int64))
                     marks.append(sketch(x))
+                    words.append(np.frombuffer(sketch(x, 64 * len(SKETCH)), np.int64))
                 else:
+                    spare.append(0)
                     sigs.append(np.empty(0, np.int64))
-                    named = doc is not None and ident[-1] in unmarked
-                    marks.append(sketch(x) if named else None)
-                    if named:
-                        unmarked.discard(ident[-1])
+                    marks.append(None)
+                    words.append(np.zeros(len(SKETCH), np.int64))
             ends = np.cumsum([0, *map(len, sigs)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ident, pa.int64()), flat, pa.array(marks, pa.binary())], ["doc_id", "n", "node", "sigs", "mark"])
+            made = [pa.array(n, pa.int64()), pa.array(ident, pa.int64()), pa.array(spare, pa.int32()), flat, pa.array(marks, pa.binary()), *map(pa.array, np.array(words).T)]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *made], [c.split()[0] for c in DESCRIBED.split(", ")])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in range(0, b.num_rows, 512):
             part = b.slice(s, 512)
-            found = [shingle_set(t, k) for t in part.column(0).to_pylist()]
+            found = [shingle_set(t.as_py(), k) for t in part.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_identity(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "items"]
             )
@@ -205,26 +213,26 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
             both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for n, m, p, q in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+        for n, m, p, q in zip(*(b.column(i).to_pylist() for i in (4, 5, 6, 7)), strict=True):
             most = (n + m) * (100 - percent) // (100 + percent)
             keep.append(100 * min(n, m) >= percent * max(n, m) and sketches_differ(p, q) <= most)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], ["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
 
 class _Texts:
-    """What verification reads: each node's sketch, and its set from the text of one document that has it."""
+    """What verification reads: each node's sketch, and its set from the text of one row that has it."""
 
-    def __init__(self, texts: DataFrame, nodes: DataFrame, shingle: int, percent: int):
-        self.texts, self.nodes, self.shingle, self.percent = texts, nodes, shingle, percent
+    def __init__(self, texts: DataFrame, nodes: DataFrame, repeated: bool, shingle: int, percent: int):
+        self.texts, self.nodes, self.repeated, self.shingle, self.percent = texts, nodes, repeated, shingle, percent
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets link."""
+        """(ca, cb) of those of the pairs (a, b, ca, cb) whose sets link."""
         percent, shingle = self.percent, self.shingle
 
         def plausible(batches):
@@ -237,81 +245,91 @@ class _Texts:
             yield from _verify(batches, percent)
 
         side = lambda x, n, m: self.nodes.select(F.col("node").alias(x), F.col("n").alias(n), F.col("mark").alias(m))
-        both = pairs.join(side("a", "na", "ma"), "a").join(side("b", "nb", "mb"), "b").select("a", "b", "na", "nb", "ma", "mb")
-        left = materialize(both.mapInArrow(plausible, "a long, b long"), "plausible")
+        both = pairs.join(side("a", "na", "ma"), "a").join(side("b", "nb", "mb"), "b").select("a", "b", "ca", "cb", "na", "nb", "ma", "mb")
+        left = materialize(both.mapInArrow(plausible, "a long, b long, ca long, cb long"), "plausible")
         ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = materialize(self.nodes.join(ends, "node", "left_semi").select("doc_id").distinct(), "wanted")
-        sets = materialize(filtered_by_keys(self.texts, wanted, ["doc_id"], "left_semi").select("text").mapInArrow(to_sets, "node long, items binary"), "items")
+        key = ["k_id", "k_hash"]
+        wanted = materialize(self.nodes.join(ends, "node", "left_semi").select(*key).distinct(), "wanted")
+        sets = filtered_by_keys(self.texts, wanted, key, "left_semi").select("text").mapInArrow(to_sets, "node long, items binary")
+        sets = materialize(sets.dropDuplicates(["node"]) if self.repeated else sets, "items")
         full = left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-        out = materialize(full.mapInArrow(verify, "a long, b long"), "links")
-        discard(left, sets)
+        full = full.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("ca", "cb", "x", "y")
+        out = materialize(full.mapInArrow(verify, "ca long, cb long"), "links")
+        discard(left, wanted, sets)
         return out
 
 
-def _components(members: DataFrame, texts: _Texts) -> DataFrame:
-    """(node, component) of every node that has a link; members: (sig, node), signatures with several nodes."""
-    links, parts, live = None, None, members.withColumn("comp", F.col("node"))
-    for number in range(STAR_ROUNDS + 1):
-        if number:
-            spread = live.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-            live = materialize(live.join(materialize(spread.select("sig"), "open"), "sig"), "live")
-        counts = live.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        rows, pairs_left = counts.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
-        if not pairs_left:
-            break
-        every = number and (pairs_left <= PAIRS_PER_ROW * rows or number == STAR_ROUNDS)
-        if every:
-            other = live.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = live.withColumnRenamed("node", "a").join(other, "sig").filter("a < b and comp <> comp_b").select("a", "b").distinct()
-        else:
-            order = F.xxhash64("node", F.lit(number))
-            head = materialize(live.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), order).alias("head")), "heads")
-            pairs = live.join(head, "sig").filter("comp <> head.comp").select(F.col("node").alias("a"), F.col("head.node").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = texts.linked(pairs)
-        links = new if links is None else links.unionByName(new)
-        parts = materialize(connected_components(links, "a", "b"), "parts")
-        if every:
-            break
-        live = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
-    return parts if parts is not None else members.select("node", F.col("node").alias("component")).limit(0)
+def _without_frequent(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, n) of members (key, node, many) but for each node's most frequent signatures, as many as it may spare."""
+    known = members.join(nodes.select("node", "n", "spare"), "node")
+    often = Window.partitionBy("node").orderBy(F.desc("many")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    hot = known.filter(F.col("many") >= FREQUENT).withColumn("ahead", F.count("*").over(often)).filter("ahead > spare")
+    return known.filter(F.col("many") < FREQUENT).select("key", "node", "n").unionByName(hot.select("key", "node", "n"))
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links).
-
-    Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct word
-    shingles; equal sets always link, empty sets (null, empty or blank texts) link with nothing and are their
-    own component. Rows without an id aren't compared, except that an equal set's component is theirs too; else theirs is null.
-    Rows with equal ids and different texts are judged apart. An empty table gives an empty result. Other
-    columns are not read. Sets are told apart by 63-bit hashes.
-    """
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """One row per row of docs: doc_id, k_id, k_hash, n, root; rows with an equal root are connected, null: no words."""
     bands = Bands(percent)
+    spark = docs.sparkSession
 
     def describe(batches):
         yield from _describe(batches, shingle, bands)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    described = materialize(texts.mapInArrow(describe, "doc_id long, n long, node long, sigs array<long>, mark binary"), "described")
-    by_sig = Window.partitionBy("sig")
-    rows = described.select(F.explode("sigs").alias("sig"), "node")
-    shared = rows.withColumn("lo", F.min("node").over(by_sig)).withColumn("hi", F.max("node").over(by_sig)).filter("lo <> hi")
-    members = materialize(shared.select("sig", "node").distinct(), "members")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
+    described = materialize(texts.mapInArrow(describe, DESCRIBED), "described")
+    rows = described.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    sample = described.filter(F.pmod(F.xxhash64("k_id", "k_hash"), F.lit(SAMPLE)) == 0).select(F.explode("sigs").alias("key"))
+    shared = shared_keys(described.select(F.explode("sigs").alias("key"), "node"), hot_keys(sample, rows, SAMPLE))
+    shared = materialize(shared.distinct(), "shared")
     flat = materialize(described.drop("sigs"), "sets")
     discard(described)
-    # one document for each node in question, never one without an id
-    known = flat.filter("doc_id is not null and node is not null").join(members.select("node").distinct(), "node", "left_semi")
-    nodes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("mark").alias("mark")), "nodes")
-    parts = _components(members, _Texts(texts, nodes, shingle, percent))
-    rooted = flat.join(parts, "node", "left").withColumn("root", F.coalesce("component", "node")).select("doc_id", "n", "root")
-    rooted = materialize(rooted, "rooted")
+    release(spark)
+    row = F.min(F.struct("k_id", "k_hash"))  # one row for each node in question
+    nodes = flat.filter("node is not null").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node")
+    nodes = nodes.agg(row.alias("row"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max(F.struct("mark", *SKETCH)).alias("marked"))
+    nodes = materialize(nodes.select("node", "row.k_id", "row.k_hash", "n", "spare", "marked.*"), "nodes")
+    members = materialize(_without_frequent(shared, nodes), "members")
+    discard(shared)
+    repeated = not flat.groupBy("k_id", "k_hash").count().filter("count > 1").isEmpty()
+    parts = classes(members, _Texts(texts, nodes, repeated, shingle, percent).linked, percent / 100, nodes.select("node", *SKETCH))
+    out = flat.join(parts, "node", "left").select("doc_id", "k_id", "k_hash", "n", F.coalesce("component", "node").alias("root"))
+    out = materialize(out, "rooted")
+    discard(nodes, members, flat)
+    release(spark)
+    return out
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links).
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct word
+    shingles; equal sets always link, empty sets (null, empty or blank texts) link with nothing and are their
+    own component. Rows without an id link like others, but have no id to name a component: it is null if no
+    row of it has one. Rows with equal ids and different texts are judged apart, repeated rows each get a row.
+    An empty table gives an empty result. Other columns are not read. Sets are told apart by 63-bit hashes.
+    """
+    rooted = _rooted(docs, id_col, text_col, shingle, percent)
     names = materialize(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("name")), "names")
     return rooted.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one of the smallest id, in its own columns."""
-    classes = jaccard_classes(docs, id_col, text_col, shingle, percent)
-    gone = materialize(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near_copies")
-    return filtered_by_keys(docs, gone, [id_col], "left_anti")
+    """docs with one row of each component, the one of the smallest id, in its own columns.
+
+    Rows are dropped by id and text together, so other texts under a dropped row's id stay. Null ids rank last, of
+    equal ids the smaller text hash stays, and of rows repeated in id and text one. Rows without words (null, empty
+    or blank texts) all stay. An empty table gives an empty result.
+    """
+    key = ["k_id", "k_hash"]
+    rooted = _rooted(docs, id_col, text_col, shingle, percent).filter("root is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_id", "k_hash")
+    heads = materialize(rooted.groupBy("root").agg(F.min(place).alias("head"), F.count("*").alias("size")).filter("size > 1"), "heads")
+    judged = rooted.join(heads, "root").withColumn("stays", (F.col("k_id") == F.col("head.k_id")) & (F.col("k_hash") == F.col("head.k_hash")))
+    judged = materialize(judged.groupBy(*key, "stays").count(), "near_copies")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
+    rest = filtered_by_keys(keyed, materialize(judged.filter("not stays").select(*key), "dropped"), key, "left_anti")
+    again = materialize(judged.filter("stays and count > 1").select(*key), "repeated")
+    if again.isEmpty():
+        return rest.select("row.*")
+    one = filtered_by_keys(rest, again, key, "left_semi").dropDuplicates(key)
+    return filtered_by_keys(rest, again, key, "left_anti").unionByName(one).select("row.*")

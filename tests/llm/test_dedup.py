@@ -64,11 +64,63 @@ def test_jaccard_classes(docs, rows, empty):
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
 
-def test_keep_one(docs):
-    kept = jaccard_join.keep_one(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+def test_keep_one(docs, rows, empty):
+    """One row of each component stays, rows without words all stay, and other texts under a dropped id stay."""
+    kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
-    want = {r.component_id for r in jaccard_join.jaccard_classes(docs).collect() if r.doc_id is not None}
-    assert {r.doc_id for r in kept.collect()} == want
+    wordless = sum(1 for r in rows if not shingles(r[1]))
+    named = {r.component_id for r in jaccard_join.jaccard_classes(docs).collect() if r.n_shingles}
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got if shingles(r.text)) == sorted(named) and sum(1 for r in got if not shingles(r.text)) == wordless
+    assert jaccard_join.keep_one(empty).count() == 0
+
+
+def test_keep_one_judges_by_id_and_text(spark):
+    a, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (5, a + " tail"), (5, other), (None, a), (None, other + " x"), (7, None), (7, ""), (9, "one two"), (9, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, a), (5, other), (7, None), (7, ""), (9, "one two")], key=str)
+    classes = jaccard_join.jaccard_classes(docs).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in classes) == [("1", 1), ("5", 1), ("5", 5), ("7", 7), ("7", 7), ("9", 9), ("9", 9), ("None", 1), ("None", 5)]
+
+
+def made_classes(spark, texts, **parameters):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(docs, **parameters).collect()}
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+            low_root, high_root = sorted((root[a], root[b]))
+            root = [low_root if r == high_root else r for r in root]
+    return got, dict(enumerate(root))
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_crowded_signatures_against_brute_force(spark, monkeypatch, hot):
+    """Chains, stars and a quoted passage; also where frequent signatures are left out and dealt over tasks."""
+    import random
+
+    if hot:
+        monkeypatch.setattr(jaccard_join, "SAMPLE", 1)
+        monkeypatch.setattr("emberlog.llm.cluster.HOT_ROWS", 8)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6)))
+    passage, texts = " ".join(word() for _ in range(60)), []
+    texts += [" ".join(word() for _ in range(70)) + " " + passage for _ in range(50)]  # these quote one passage
+    base = [word() for _ in range(150)]
+    for _ in range(60):  # a star: copies link with the base and not always with one another
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    texts.append(" ".join(base))
+    for _ in range(40):  # a chain
+        base = base[2:] + [word(), word()]
+        texts.append(" ".join(base))
+    got, want = made_classes(spark, texts)
+    assert got == want and 50 < len(set(want.values())) < len(texts)
 
 
 def test_linked_sets_share_a_signature():
