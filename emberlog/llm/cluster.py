@@ -32,14 +32,16 @@ SKETCH = ["w0", "w1", "w2", "w3"]
 HOT_ROWS = 4096
 
 
-def hot_keys(sample: DataFrame, rows: int, every: int) -> DataFrame | None:
+def hot_keys(sample: DataFrame, every: int) -> DataFrame | None:
     """(key, salts, many) of keys with more rows than a quarter of a task's share, from a sample of one row in `every`.
 
     key: the column of `sample`. At most 4 x shuffle partitions keys reach the share, which bounds the table. many
     estimates a key's rows. A key that the sample misses is merely not dealt out. None if there is no such key.
     """
+    counts = materialize(sample.groupBy("key").count(), "sampled")
+    rows = (counts.agg(F.sum("count")).first()[0] or 0) * every
     share = max(HOT_ROWS, rows // (4 * partitions(sample.sparkSession)))
-    counts = sample.groupBy("key").count().filter(F.col("count") * every >= share)
+    counts = counts.filter(F.col("count") * every >= share)
     hot = counts.select("key", F.ceil(F.col("count") * every / F.lit(share)).cast("int").alias("salts"), (F.col("count") * every).alias("many"))
     hot = materialize(hot, "hot")
     return None if hot.isEmpty() else F.broadcast(hot)
@@ -67,7 +69,7 @@ def _size_fits(p: str, q: str, ratio: float) -> Column:
 
 
 def _heads(live: DataFrame, spread: DataFrame, number: int, ratio: float) -> DataFrame:
-    """Pairs (a, b, ca, cb) of members with the representative of their key in this round."""
+    """Pairs (a, b, ca, cb, na, nb) of members with the representative of their key in this round."""
     company = F.sum("m").over(Window.partitionBy("one.node"))
     weighed = live.join(spread.select("key", "m"), "key").withColumn("company", company.cast("double"))
     luck = F.xxhash64("one.node", F.lit(number))
@@ -84,7 +86,7 @@ def _sketches_fit(p: str, q: str, ratio: float) -> Column:
 
 
 def _all_pairs(live: DataFrame, spread: DataFrame, ratio: float, sketches: DataFrame | None) -> DataFrame:
-    """Pairs (a, b, ca, cb) of all members of a key in different classes; crowded keys are dealt over blocks."""
+    """Pairs (a, b, ca, cb, na, nb) of all members of a key in different classes; crowded keys are dealt over blocks."""
     if sketches is not None:
         flat = live.select("key", F.col("one.node").alias("node"), F.col("one.n").alias("n"), F.col("one.comp").alias("comp"))
         live = flat.join(sketches, "node").select("key", F.struct("node", "n", "comp", *SKETCH).alias("one"))
@@ -99,16 +101,18 @@ def _all_pairs(live: DataFrame, spread: DataFrame, ratio: float, sketches: DataF
 
 
 def _pairs(met: DataFrame, p: str, q: str) -> DataFrame:
+    """Distinct pairs of the structs p and q: the smaller node a and the other b, their classes and sizes."""
     first = F.col(f"{p}.node") < F.col(f"{q}.node")
     side = lambda x, y, c: F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
-    return met.select(side(p, q, "node").alias("a"), side(q, p, "node").alias("b"), side(p, q, "comp").alias("ca"), side(q, p, "comp").alias("cb")).distinct()
+    names = {"": "node", "c": "comp", "n": "n"}
+    return met.select(*[side(*(p, q) if end == "a" else (q, p), names[k]).alias(k + end) for k in names for end in "ab"]).distinct()
 
 
 def classes(members: DataFrame, linked: Callable[[DataFrame], DataFrame], ratio: float, sketches: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node that has a link to another.
 
     members: distinct (key, node, n), keys with several nodes. linked: the (ca, cb) of those of the pairs (a, b, ca,
-    cb) that are verified, as a written table. ratio: the least Jaccard similarity of linked nodes, sets of n
+    cb, na, nb) that are verified, as a written table. ratio: the least Jaccard similarity of linked nodes, sets of n
     elements. sketches: (node, SKETCH) of all nodes.
     """
     spark = members.sparkSession

@@ -232,7 +232,7 @@ class _Texts:
         self.texts, self.nodes, self.repeated, self.shingle, self.percent = texts, nodes, repeated, shingle, percent
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """(ca, cb) of those of the pairs (a, b, ca, cb) whose sets link."""
+        """(ca, cb) of those of the pairs (a, b, ca, cb, na, nb) whose sets link."""
         percent, shingle = self.percent, self.shingle
 
         def plausible(batches):
@@ -244,8 +244,8 @@ class _Texts:
         def verify(batches):
             yield from _verify(batches, percent)
 
-        side = lambda x, n, m: self.nodes.select(F.col("node").alias(x), F.col("n").alias(n), F.col("mark").alias(m))
-        both = pairs.join(side("a", "na", "ma"), "a").join(side("b", "nb", "mb"), "b").select("a", "b", "ca", "cb", "na", "nb", "ma", "mb")
+        side = lambda x, m: self.nodes.select(F.col("node").alias(x), F.col("mark").alias(m))
+        both = pairs.join(side("a", "ma"), "a").join(side("b", "mb"), "b").select("a", "b", "ca", "cb", "na", "nb", "ma", "mb")
         left = materialize(both.mapInArrow(plausible, "a long, b long, ca long, cb long"), "plausible")
         ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         key = ["k_id", "k_hash"]
@@ -277,9 +277,8 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
     described = materialize(texts.mapInArrow(describe, DESCRIBED), "described")
-    rows = described.agg(F.sum(F.size("sigs"))).first()[0] or 0
     sample = described.filter(F.pmod(F.xxhash64("k_id", "k_hash"), F.lit(SAMPLE)) == 0).select(F.explode("sigs").alias("key"))
-    shared = shared_keys(described.select(F.explode("sigs").alias("key"), "node"), hot_keys(sample, rows, SAMPLE))
+    shared = shared_keys(described.select(F.explode("sigs").alias("key"), "node"), hot_keys(sample, SAMPLE))
     shared = materialize(shared.distinct(), "shared")
     flat = materialize(described.drop("sigs"), "sets")
     discard(described)

@@ -1,174 +1,139 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line's features are its shingles of SHINGLE bytes (of the trimmed, A-Z lower-cased UTF-8 line). Signatures
-are minima of the shingles' hashes under BANDS * ROWS xor masks, taken by one partial aggregation over shingle
-rows, so that repeated lines meet before the shuffle and no text is shuffled. Lines that agree on the ROWS
-minima of a band are candidates; they are verified by exact Jaccard, first against one representative of
-their band, and a distributed union-find joins the verified pairs. After ROUNDS representatives all pairs of a
-band that still lie in different components are verified. Parity sketches, whose differing bits are never more
-than the sets' differing shingles, rule out most pairs before a text is read. One line of each component
-stays: the first by document id and line number.
+A line's features are its shingles of SHINGLE characters (of the trimmed, A-Z lower-cased line; a shorter line
+is its own shingle). Of the distinct shingles' hashes the KEEP smallest are hashed again and taken, for each of
+BANDS masks, in the order of their values xor the mask: a band is the ROWS first of that order. The masks differ
+in their leading bits, so that bands look at different parts of the hash range and hardly overlap. All of this
+happens within a line's row. Equal lines meet before the bands are dealt out, and no text is shuffled for them.
+
+Lines that share a band are candidates (cluster.py). They are verified by exact Jaccard of their shingle sets,
+and a distributed union-find joins the verified pairs. One line of each component stays: the first by document
+id and line number. Two lines of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS or little
+less; pairs that share a band are all judged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, filtered_by_keys, materialize, row_key
-from .graph import connected_components
+from .cluster import classes, hot_keys, shared_keys
+from .common import ascii_lower, discard, filtered_by_keys, materialize, release, row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A pair of the least similarity is a candidate with probability 1 - (1 - 0.8**3)**8 = 0.997. Unrelated lines
-#: are one with a probability that falls with ROWS; on much larger corpora raise it, and BANDS with it.
-BANDS, ROWS = 8, 3
-#: Rounds in which members of a band that aren't connected yet meet another representative; all pairs left follow.
-ROUNDS = 3
-#: Pairs for each member row that the last round may have for it to come before ROUNDS are over.
-PAIRS_PER_ROW = 4
-#: Members of a band that one share of its pairs holds on its left side.
-BLOCK = 1000
-#: Words of 64 bits of a parity sketch.
-SKETCH = 4
+#: A pair of the least similarity shares a band with probability 1 - (1 - 0.8**5)**16 = 0.998. Unrelated lines do so
+#: with one that falls with ROWS; on much larger corpora raise it, and BANDS with it.
+BANDS, ROWS = 16, 5
+#: Hashes of a line that its bands are taken from.
+KEEP = 96
+#: One line in so many tells which bands are so frequent that their rows are dealt over tasks.
+SAMPLE = 64
 
 
 def _masks(count: int) -> list[int]:
-    """Fixed pseudo-random 64-bit masks (signed), from a linear congruential rule."""
+    """Fixed 64-bit masks (signed): evenly spread in their leading bits, pseudo-random by a linear congruential rule below."""
     out, x = [], 88172645463325252
-    for _ in range(count):
+    for i in range(count):
         x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append((x ^ (x >> 29)) % 2**64 - 2**63)
+        out.append(((i << 64) // count ^ (x >> 6)) % 2**64 - 2**63)
     return out
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k_id, k_hash, doc_id, line_no, norm, id): the non-blank lines; id is the line's 128-bit identity."""
+    """(k_id, k_hash, doc_id, line_no, norm, h, g): the non-blank lines; (h, g) is the line's 128-bit identity."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"), *row_key(id_col, text_col),
         F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"),
     )
-    norm = rows.select("doc_id", "k_id", "k_hash", "line_no", F.trim(ascii_lower(F.col("line"))).cast("binary").alias("norm"))
-    return norm.filter(F.octet_length("norm") > 0).withColumn(
-        "id", F.struct(F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm", F.octet_length("norm")).alias("g"))
-    )
-
-
-def _starts(norm: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(norm) - (SHINGLE - 1)))
-
-
-def _signatures(lines: DataFrame) -> DataFrame:
-    """One row per different line: the two halves of its id and the minima m0, m1, ..."""
-    masks = _masks(BANDS * ROWS)
-    rows = lines.select(F.col("id.h").alias("h"), F.col("id.g").alias("g"), "norm", F.explode(_starts(F.col("norm"))).alias("at"))
-    rows = rows.select("h", "g", F.xxhash64(F.substring("norm", F.col("at"), F.lit(SHINGLE))).alias("s"))
-    return rows.groupBy("h", "g").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
-
-
-def _bands(signed: DataFrame) -> DataFrame:
-    each = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select(F.explode(F.array(*each)).alias("band"), F.struct("h", "g").alias("id"))
+    norm = rows.select("doc_id", "k_id", "k_hash", "line_no", F.trim(ascii_lower(F.col("line"))).alias("norm")).filter("norm <> ''")
+    return norm.withColumn("h", F.xxhash64("norm")).withColumn("g", F.xxhash64(F.lit(1), "norm", F.octet_length("norm")))
 
 
-def _shingles(norm: str) -> Column:
-    return F.array_distinct(F.transform(_starts(F.col(norm)), lambda i: F.xxhash64(F.substring(norm, i, F.lit(SHINGLE)))))
+def _shingles(norm: Column) -> Column:
+    """A line's shingles as texts, repeated ones too."""
+    found = F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.char_length(norm) >= SHINGLE, found).otherwise(F.array(norm))
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
-    """(id, n, sketch): how many shingles a line has, and the parities of their counts in 64 * SKETCH buckets."""
-    word = "aggregate(x, 0L, (a, v) -> a ^ if(((v >> 6) & {m}) = {i}, shiftleft(1L, cast(v & 63 AS int)), 0L))"
-    words = [F.expr(word.format(m=SKETCH - 1, i=i)).alias(f"w{i}") for i in range(SKETCH)]
-    return texts.select("id", _shingles("norm").alias("x")).select("id", F.size("x").alias("n"), F.struct(*words).alias("sketch"))
+def _hashes(norm: Column) -> Column:
+    return F.transform(_shingles(norm), lambda s: F.xxhash64(s))
 
 
-def _plausible(p: str, q: str, similarity: float) -> Column:
-    """Whether two members can have the similarity, by the sizes and sketches of their sets."""
-    n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
-    differing = sum((F.bit_count(F.col(f"{p}.sketch.w{i}").bitwiseXOR(F.col(f"{q}.sketch.w{i}"))) for i in range(SKETCH)), F.lit(0))
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (differing <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+def _signatures(lines: DataFrame) -> DataFrame:
+    """One row per different line: h, its number of distinct shingles n, and its bands b0, b1, ..."""
+    sets = lines.select("h", F.array_distinct(_hashes(F.col("norm"))).alias("x"))
+    low = sets.select("h", F.size("x").cast("long").alias("n"), F.slice(F.sort_array("x"), 1, KEEP).alias("low"))
+    low = low.select("h", "n", F.transform("low", lambda v: F.xxhash64(v)).alias("low"))
+    band = lambda mask: F.xxhash64(F.slice(F.sort_array(F.transform("low", lambda v: v.bitwiseXOR(F.lit(mask)))), 1, ROWS), F.lit(mask))
+    names = [f"b{i}" for i in range(BANDS)]
+    signed = low.select("h", "n", *[band(m).alias(b) for m, b in zip(_masks(BANDS), names, strict=True)])
+    return signed.groupBy("h").agg(F.max("n").alias("n"), *[F.min(b).alias(b) for b in names])
 
 
-def _to_heads(live: DataFrame, number: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members with the representative of their band in this round."""
-    heads = materialize(live.groupBy("band").agg(F.min_by("one", F.xxhash64("one.id", F.lit(number))).alias("head")), "heads")
-    pairs = live.join(heads, "band").filter("one.comp <> head.comp").filter(_plausible("one", "head", similarity))
-    return pairs.select(F.least("one.id", "head.id").alias("a"), F.greatest("one.id", "head.id").alias("b")).distinct()
+def _bands(signed: DataFrame) -> DataFrame:
+    """(key, node, n): a row for each band of a line."""
+    return signed.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"), F.col("h").alias("node"), "n")
 
 
-def _all_pairs(live: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of all members of a band in different components; crowded bands are dealt over shares."""
-    shares = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
-    dealt = live.join(materialize(shares, "shares"), "band")
-    left = dealt.select("band", "one", F.pmod(F.xxhash64("one.id"), F.col("shares")).alias("share"))
-    right = dealt.select("band", F.col("one").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
-    pairs = left.join(right, ["band", "share"]).filter("one.id < other.id and one.comp <> other.comp")
-    return pairs.filter(_plausible("one", "other", similarity)).select(F.col("one.id").alias("a"), F.col("other.id").alias("b")).distinct()
+def _linked(texts: DataFrame, similarity: float):
+    """Function from pairs (a, b, ca, cb, na, nb) to the (ca, cb) of those whose lines have the similarity, by exact Jaccard."""
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
+        both = both.join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
+        common = F.size(F.array_intersect(_hashes(F.col("x")), _hashes(F.col("y"))))
+        sized = both.select("ca", "cb", (F.col("na") + F.col("nb")).alias("both"), common.alias("common"))
+        return materialize(sized.filter(F.col("common") >= similarity * (F.col("both") - F.col("common")) - 1e-9).select("ca", "cb"), "links")
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have the similarity, by exact Jaccard of the lines themselves."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    both = both.select("a", "b", _shingles("x").alias("xa"), _shingles("y").alias("xb"))
-    common = F.size(F.array_intersect("xa", "xb"))
-    return both.filter(common >= similarity * (F.size("xa") + F.size("xb") - common) - 1e-9).select("a", "b")
+    return linked
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) for the lines that have a verified near copy: root is the component's smallest id."""
+    """(h, root) for the lines that have a verified near copy: root is the component's smallest h, a 64-bit hash."""
     lines = lines_of(docs, id_col, text_col)
-    by = Window.partitionBy("band")
-    rows = _bands(_signatures(lines))
-    members = materialize(
-        rows.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).filter("lo <> hi").select("band", "id"), "bands"
-    )
-    wanted = materialize(members.select("id").distinct(), "candidates")
-    texts = materialize(filtered_by_keys(lines.select("id", "norm"), wanted, ["id"], "left_semi").distinct(), "lines")
-    sketches = materialize(_sketched(texts), "sketches")
-    links, parts = None, None
-    for number in range(ROUNDS + 1):
-        known = sketches.withColumn("comp", F.col("id")) if parts is None else sketches.join(parts, "id", "left").select("id", "n", "sketch", F.coalesce("root", "id").alias("comp"))
-        live = members.join(known, "id").select("band", F.struct("id", "comp", "n", "sketch").alias("one"))
-        spread = live.groupBy("band", "one.comp").count().groupBy("band").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        spread = materialize(spread.filter("m * m > own"), "open")
-        rows_left, pairs_left = spread.agg(F.sum("m"), F.sum((F.col("m").cast("double") * F.col("m") - F.col("own")) / 2)).first()
-        if not pairs_left and parts is not None:
-            break
-        live = materialize(live.join(spread.select("band"), "band", "left_semi"), "live")
-        every = number == ROUNDS or number and pairs_left <= PAIRS_PER_ROW * rows_left
-        new = materialize(_verified(_all_pairs(live, similarity) if every else _to_heads(live, number, similarity), texts, similarity), "pairs")
-        discard(live, spread)
-        links = new if links is None else links.unionByName(new)
-        key = lambda c: F.concat_ws(":", f"{c}.h", f"{c}.g").alias(c)
-        flat = connected_components(links.select(key("a"), key("b")), "a", "b")
-        back = lambda c: F.struct(F.split_part(c, F.lit(":"), F.lit(1)).cast("long").alias("h"), F.split_part(c, F.lit(":"), F.lit(2)).cast("long").alias("g"))
-        parts = materialize(flat.select(back(F.col("node")).alias("id"), back(F.col("component")).alias("root")), "parts")
-        if every:
-            break
-    return parts
+    some = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col))), F.lit(SAMPLE)) == 0)
+    hot = hot_keys(_bands(_signatures(lines_of(some, id_col, text_col))).select("key"), SAMPLE)
+    members = materialize(shared_keys(_bands(_signatures(lines)), hot).select("key", "node", "n").distinct(), "members")
+    release(docs.sparkSession)
+    wanted = materialize(members.select(F.col("node").alias("h")).distinct(), "wanted")
+    # where two lines have one h, either may answer for a pair
+    texts = materialize(filtered_by_keys(lines.select("h", "norm"), wanted, ["h"], "left_semi").distinct(), "lines")
+    release(docs.sparkSession)
+    parts = classes(members, _linked(texts, similarity), similarity)
+    discard(members, wanted, texts)
+    release(docs.sparkSession)
+    return parts.select(F.col("node").alias("h"), F.col("component").alias("root"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, dropped (line numbers from 0, ascending), k_id, k_hash.
 
     Lines are the parts between line feeds; blank ones are neither counted nor dropped. Of lines that are equal
-    or connected by links of the similarity, the one of the smallest (id, line number) stays; repeated rows of
-    one document count as one place. Null ids come last as text. Null and empty texts have no lines. An empty
-    table gives an empty result. Other columns are not read.
+    or connected by links of the similarity, the one of the smallest (id, line number) stays; of equal ids the text
+    of the smaller hash comes first, and repeated rows of one document count as one place. Null ids come last. Null
+    and empty texts have no lines. Lines of any length are read whole. An empty table gives an empty result. Other
+    columns are not read. Near copies are known by a 64-bit hash of the line, equal lines by 128 bits.
     """
     parts = line_classes(docs, id_col, text_col, similarity)
-    places = lines_of(docs, id_col, text_col).select("id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_hash", "line_no").alias("place"))
-    seen = places.groupBy("id").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    rooted = materialize(seen.join(parts, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"), (F.col("root").isNotNull() | (F.col("first") != F.col("last"))).alias("many")), "seen")
-    stays = materialize(rooted.filter("many").groupBy("root").agg(F.min("first").alias("stays")), "stays")
-    judged = materialize(rooted.filter("many").join(stays, "root").select("id", "stays"), "judged")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_hash", "line_no").alias("place")
     key = ["k_id", "k_hash"]
-    lines = lines_of(docs, id_col, text_col).select("id", *key, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_hash", "line_no").alias("place"))
-    if judged.count() <= 200_000:
-        judged = F.broadcast(judged)
-    gone = lines.join(judged, "id").filter("place <> stays").select(*key, F.col("place.line_no").alias("line_no")).distinct()
+    lines = lines_of(docs, id_col, text_col).select("h", "g", *key, place)
+    # lines that occur once and have no near copy need no place: counts alone are made for all lines
+    counted = lines.groupBy("h", "g").count().join(parts, "h", "left").filter("root is not null or count > 1")
+    counted = materialize(counted.select("h", "g", "root"), "counted")
+    seen = lines.join(F.broadcast(counted) if counted.count() <= 200_000 else counted, ["h", "g"])
+    rooted = seen.groupBy("h", "g", "root").agg(F.min("place").alias("first"))
+    rooted = materialize(rooted.select("h", "g", "first", F.when(F.col("root").isNull(), F.struct("h", "g")).otherwise(F.struct(F.col("root").alias("h"), F.lit(0).cast("long").alias("g"))).alias("root")), "seen")
+    stays = rooted.groupBy("root").agg(F.min("first").alias("stays"))
+    judged = materialize(rooted.join(stays, "root").select("h", "g", "stays"), "judged")
+    discard(rooted)
+    release(docs.sparkSession)
+    gone = lines.join(F.broadcast(judged) if judged.count() <= 200_000 else judged, ["h", "g"]).filter("place <> stays")
+    gone = gone.select(*key, F.col("place.line_no").alias("line_no")).distinct()
     gone = materialize(gone.groupBy(*key).agg(F.array_sort(F.collect_list("line_no")).alias("dropped")), "dropped")
+    discard(judged)
+    release(docs.sparkSession)
     blank = F.size(F.filter(F.split(F.coalesce("__t", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"), *row_key(id_col, text_col))
     out = base.select("doc_id", *key, blank.cast("long").alias("n_lines")).join(gone, key, "left")
@@ -176,7 +141,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs in its own columns, with the dropped lines taken out of the texts; a null text stays null."""
+    """docs in its own columns, with the dropped lines taken out of the texts.
+
+    A null text stays null, a text of which every line is dropped becomes empty; repeated rows are treated alike;
+    an empty table gives an empty result.
+    """
     rows = dropped_lines(docs, id_col, text_col, similarity).filter("n_dropped > 0").select("k_id", "k_hash", "dropped")
     rows = materialize(rows.dropDuplicates(["k_id", "k_hash"]), "decisions")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
