@@ -2,10 +2,12 @@
 
 Documents are tokenised once, in the task that reads them, and packed there, so nothing is shuffled. Whole
 multiples of the sequence size leave a document as full sequences. The remainders gather in cells of
-CELL_WINDOWS windows; each cell is divided by multiway differencing: every piece starts as a partition with
-one loaded window, and the two partitions of the largest spread are merged with their loads in opposite
-order until one is left. The window count rises with the cell's total; what a near-equal window has beyond
-the capacity is cut off and fills the lightest windows. A cell is bounded by parameters, never by the input.
+CELL_WINDOWS windows, as pieces of at most GRAIN tokens. A cell is divided by multiway differencing: every piece
+starts as a partition with one loaded window, and the two partitions of the largest spread are merged with their
+loads in opposite order until one is left. Where a window is beyond the capacity, the cell is divided again into
+one window more. A cell closes SLACK tokens a window before its windows are full, which is about what the
+windows of such pieces differ by, so that the count seldom rises. Neighbouring pieces of a document that meet in
+a window are one piece again. A cell is bounded by parameters, never by the input.
 
 A sequence id is the task's number times 2**33 plus a running number, so ids are unique and the same on a
 second attempt.
@@ -27,6 +29,7 @@ from .tokens import Encoder
 
 SEQUENCE = 2048
 CELL_WINDOWS = 96
+GRAIN, SLACK = 256, 12
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -66,35 +69,30 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     return groups
 
 
-def divide(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (index, start, length), none over the capacity: differencing, then cuts.
+def divide(sizes: list[int], capacity: int, grain: int = GRAIN) -> list[list[tuple[int, int, int]]]:
+    """Windows of (index, start, length), none over the capacity, of near-equal loads.
 
-    The window count is the least that the total needs; it rises with every window that the capacity would be
-    exceeded without. What differencing puts into a window beyond its capacity is cut off and fills the room
-    of the lightest windows, so that only the last window of a total can stay partly empty.
+    The window count begins with the least that the total needs and rises by one as long as differencing loads a
+    window beyond the capacity.
     """
+    grains = [(i, start, min(grain, size - start)) for i, size in enumerate(sizes) for start in range(0, size, grain)]
     windows = max(1, -(-sum(sizes) // capacity))
-    out, tails = [], []
-    for group in differencing(sizes, windows):
-        load, parts = 0, []
-        for i in sorted(group, key=lambda i: -sizes[i]):
-            take = min(sizes[i], capacity - load)
-            if take:
-                parts.append((i, 0, take))
-            if take < sizes[i]:
-                tails.append((i, take, sizes[i] - take))
-            load += take
-        out.append([load, parts])
-    out.sort(key=lambda w: w[0])
-    for window in out:
-        while tails and window[0] < capacity:
-            i, start, length = tails.pop()
-            take = min(length, capacity - window[0])
-            window[1].append((i, start, take))
-            window[0] += take
-            if take < length:
-                tails.append((i, start + take, length - take))
-    return [parts for _, parts in out if parts]
+    while True:
+        groups = differencing([g[2] for g in grains], windows)
+        if all(sum(grains[g][2] for g in group) <= capacity for group in groups):
+            break
+        windows += 1
+    out = []
+    for group in groups:
+        parts: list[tuple[int, int, int]] = []
+        for i, start, length in sorted(grains[g] for g in group):
+            if parts and parts[-1][0] == i and parts[-1][1] + parts[-1][2] == start:
+                parts[-1] = (i, parts[-1][1], parts[-1][2] + length)
+            else:
+                parts.append((i, start, length))
+        if parts:
+            out.append(parts)
+    return out
 
 
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, sequence: int, cell: int) -> Iterator[pa.RecordBatch]:
@@ -103,7 +101,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, sequence: int, cell
     rows: list[tuple] = []
     held: list[tuple] = []  # doc_id, start, ids, doc_tokens
     load = 0
-    room = sequence * cell
+    room = (sequence - min(SLACK, sequence // 2)) * cell
     schema = pa.schema([pa.field(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
     def piece(doc_id, start, ids, total, seq, offset):

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from emberlog.llm import packing, quality, toxicity
 from emberlog.llm.queries_tokens import tokenizer_path
@@ -55,10 +56,10 @@ def test_drop_toxic(spark, docs, rows):
 def test_packing_round_trip(docs, rows, empty):
     path = tokenizer_path()
     pieces = packing.pack(docs, path).collect()
-    encoder = Encoder(path)
+    untouched = Tokenizer.from_file(path)
     want = defaultdict(list)
     for r in rows:
-        want[r[0]].append(np.array([*encoder.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4"))
+        want[r[0]].append(np.array([*untouched.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4"))
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_seq[p.sequence_id].append((p.offset, p.length))
@@ -77,6 +78,10 @@ def test_packing_round_trip(docs, rows, empty):
                 assert (start, total) == (at, len(ids)) and crc == zlib.crc32(ids[start : start + n].tobytes())
                 at += n
     assert set(by_doc) == set(want)
+    special = docs.limit(1).selectExpr("1L doc_id", "'<|endoftext|> a <|endoftext|>' text")
+    ids = np.array([*untouched.encode("<|endoftext|> a <|endoftext|>", add_special_tokens=False).ids, 1], "<u4")
+    (only,) = packing.pack(special, path).collect()
+    assert (only.length, only.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
     assert packing.pack(empty, path).count() == 0
 
 
@@ -92,13 +97,16 @@ def test_divide():
                 assert start == at and length > 0
                 at += length
             assert at == size
-        assert all(sum(x[2] for x in w) <= 2048 for w in windows) and len(windows) == -(-sum(sizes) // 2048)
+        loads = [sum(x[2] for x in w) for w in windows]
+        assert max(loads) <= 2048 and -(-sum(sizes) // 2048) <= len(windows) <= 1.05 * sum(sizes) / 2048 + 1
+        assert n < 40 or max(loads) - min(loads) < 300
+    assert [len(w) for w in packing.divide([1500, 1500, 1000], 2000, 4000)] == [1, 1, 1]  # two windows would hold 2,500 tokens in one
     assert packing.divide([], 2048) == []
     assert len(packing.differencing([4, 5, 6, 7, 8], 2)) == 2
 
 
 def test_tokens_equal_the_tokenizer():
-    e = Encoder(tokenizer_path())
+    e, untouched = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     odd = ["it's  don't\n\n  x\t y ", "<|endoftext|> a", "日本語 text  ok", "a'S '", "", "´x `~ éè’s ‘a’ 12ab34", "x\r\n\r\n  y", "µ a ª º ß x²³ ¼", "tail  ", "\u00a0 nbsp", "a_b __ c"]
     for t in odd:
-        assert e(t) == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+        assert e(t) == untouched.encode(t, add_special_tokens=False).ids, t
