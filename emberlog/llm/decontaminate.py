@@ -6,8 +6,9 @@ first. Containment must be whole, so a prefix of one shingle is necessary: a tex
 its rarest shingle. Corpus positions meet the windows on that shingle, the window must fit the text around
 it (length and position), and the words are then compared one by one.
 
-The corpus is never shuffled by word: its positions are generated and joined within one stage with the
-benchmark's prefix, which is broadcast up to BROADCAST_WINDOWS windows and joined by shuffle beyond.
+Up to BROADCAST_WINDOWS windows the benchmark's prefix is broadcast: the corpus' positions are generated, joined
+and verified within one stage. Beyond, positions are shuffled as (row key, position, hash of the shingle) alone,
+and the words of a document are fetched once, for its candidates only.
 """
 
 from __future__ import annotations
@@ -85,17 +86,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         ranked.join(alive, "w", "left_semi").withColumn("rank", rare).filter("rank = 1").select("w", "len", "win", F.col("pos").alias("off"), "key"), "prefix"
     )
     n_prefix = prefix.count()
-    base = ["doc_id", "k_id", "k_hash", "words"]
-    near = _at_positions(corpus, base)
-    long_hits = near.join(_maybe_broadcast(prefix.filter(F.col("len") >= SHINGLE), n_prefix), "key")
-    hits = _verified(long_hits)
-    short = prefix.filter(F.col("len") < SHINGLE)
-    if not short.isEmpty():  # items of one or two words: the first word is the prefix
-        first = F.posexplode("words").alias("pos", "word")
-        ones = corpus.select(*base, first).join(
-            _maybe_broadcast(short.select("w", "len", "win", "off", F.col("win")[0].alias("word")), n_prefix), "word"
-        )
-        hits = hits.unionByName(_verified(ones))
+    long, short = prefix.filter(F.col("len") >= SHINGLE), prefix.filter(F.col("len") < SHINGLE)
+    short = short.withColumn("word", F.col("win")[0])  # items of one or two words: the first word is the prefix
+    kinds = [(lambda keep: _at_positions(corpus, keep), long, "key")]
+    if not short.isEmpty():
+        kinds.append((lambda keep: corpus.select(*keep, F.posexplode("words").alias("pos", "word")), short, "word"))
+    hits = None
+    for positions, wanted, on in kinds:
+        found = _hits(corpus, positions, wanted, on, n_prefix)
+        hits = found if hits is None else hits.unionByName(found)
     hits = materialize(hits, "hits")
     key = ["k_id", "k_hash"]
     order = Window.partitionBy(*key).orderBy("start", "end")
@@ -116,6 +115,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
+def _hits(corpus: DataFrame, positions, wanted: DataFrame, on: str, n_prefix: int) -> DataFrame:
+    """Occurrences (k_id, k_hash, w, start, end) of the windows `wanted`, whose prefix a position has in column `on`.
+
+    positions: function from the columns to keep to the corpus' rows by position, with pos and `on`.
+    """
+    key = ["k_id", "k_hash"]
+    if n_prefix <= BROADCAST_WINDOWS:
+        return _verified(positions([*key, "words"]).join(F.broadcast(wanted.select("w", "len", "win", "off", on)), on))
+    met = positions(key).join(wanted.select("w", "off", on), on).filter("pos >= off").select(*key, "w", "pos", "off").distinct()
+    met = materialize(met, "met")
+    texts = filtered_by_keys(corpus.select(*key, "words"), materialize(met.select(*key).distinct(), "met_rows"), key, "left_semi")
+    return _verified(met.join(wanted.select("w", "len", "win"), "w").join(texts.dropDuplicates(key), key))
+
+
 def _verified(rows: DataFrame) -> DataFrame:
     """Occurrences (k_id, k_hash, w, start, end): candidates that fit and whose words are the window's."""
     start = F.col("pos") - F.col("off")
@@ -125,7 +138,11 @@ def _verified(rows: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without its contaminated rows, in its own columns."""
+    """docs without its contaminated rows, in its own columns.
+
+    Null and empty texts are never contaminated; repeated rows go or stay together; an empty table, or an empty
+    benchmark, leaves docs as it is.
+    """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
     bad = materialize(contamination(docs, items, id_col, text_col).filter("contaminated").select("k_id", "k_hash").distinct(), "bad")
     return filtered_by_keys(keyed, bad, ["k_id", "k_hash"], "left_anti").select("row.*")

@@ -1,9 +1,13 @@
 import hashlib
 import re
+from collections import Counter
+
+import duckdb
+import pytest
 
 from emberlog.llm import decontaminate, licenses, secrets, url_filter
 from emberlog.llm.forest import predict
-from emberlog.llm.queries_web import RULES
+from emberlog.llm.queries_web import OP2_SQL, RULES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -32,7 +36,9 @@ def expected(docs, items, n=13):
     return sorted(out, key=str)
 
 
-def test_contamination(spark, empty):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_contamination(spark, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     a = " ".join(f"w{i}" for i in range(30))
     b = " ".join(f"v{i}" for i in range(13))
     items = [(1, a), (2, b), (30, "two Words"), (4, "one"), (5, None), (6, "--- "), (7, a.upper()), (None, "lonely item")]
@@ -69,6 +75,28 @@ def test_urls(spark, empty):
     assert url_filter.filter_urls(empty.selectExpr("doc_id page_id", "text url", "lang html"), RULES).count() == 0
 
 
+def test_url_aliases(spark):
+    """Null urls, several tags, relative targets and queries, in Spark and in the SQL."""
+    link = lambda *to: "".join(f"<link rel='canonical' href='{x}'>" for x in to)
+    turn = lambda *to: "".join(f'<meta http-equiv="refresh" content="0;url={x}">' for x in to)
+    rows = [
+        (1, None, link("http://b.com/de/x")), (2, None, link("http://ok.net/y")), (3, "http://ok.net/y", ""), (4, "no scheme", link("http://b.com/de/x")),
+        (5, "http://two.net/a", link("http://fine.net/1", "http://b.com/de/2")), (6, "http://fine.net/1", ""), (7, "http://rel.com/de/a/b", ""), (8, "http://rel.com/x/y/z", link("../../de/a/b")),
+        (9, "http://rel.com/x/k", turn("z?p=1")), (10, "http://rel.com/x/z?p=1", link("/de/q")), (11, "http://rel.com/x/z?p=2", ""), (12, "http://rel.com/x/z", ""), (13, "http://q.net/?id=1", link("http://b.com/de/9")),
+        (14, "http://q.net/?id=2", ""), (15, "http://host.net", link("de.html")), (16, "http://host.net/de.html", link("mailto:x@b.com", "#top", "//b.com/de/7")), (17, "http://h.net/p", link("?x=1")), (18, "http://h.net/p?x=1", turn("./../../de/../p")),
+        (19, "http://h.net/q", None), (20, "http://", link("http://b.com/de/x")), (21, "http://two.net/c#f", turn("http://n.net", "http://B.com/de/k#z")), (22, "http://n.net", ""),
+    ]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert {k for k, r in got.items() if r.verdict == "block"} == {5, 6, 7, 8, 9, 10, 13, 15, 16, 21, 22}
+    assert got[17].component == got[18].component == "h.net/p" and got[12].component is None
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    names = ["page_id", "host", "path", "rule", "verdict", "component"]
+    found = db.execute(f"SELECT {', '.join(names)} FROM ({OP2_SQL})").fetchall()
+    assert Counter(found) == Counter(tuple(r[n] for n in names) for r in got.values())
+
+
 def test_licences(spark, docs, rows, empty):
     texts = ["Some prose.\nReleased under the MIT License.\nmore", "licensed under the apache license version 2 0", "Licensed under\nthe Apache License,\nVersion 2.0.\n\nrest", "the mit is a school", None, "", "License"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
