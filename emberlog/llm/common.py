@@ -90,6 +90,20 @@ def filtered_by_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) ->
     return df.join(keys, on, how)
 
 
+_CACHES: dict = {}
+
+
+def worker_cache(owner: str, cache):
+    """Registers an operator's cache in a Python worker and empties what others, or its own earlier tasks, left there.
+
+    Workers live on through a job of several operators, and each operator's cache would stay beside the next one's.
+    """
+    for other in [o for o, c in _CACHES.items() if c is not cache]:
+        _CACHES.pop(other).clear()
+    _CACHES[owner] = cache
+    return cache
+
+
 def word_array(text: Column, separators: str) -> Column:
     """Words of a text as an array: maximal runs outside the Java character class `separators`."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{separators}]+"), "")

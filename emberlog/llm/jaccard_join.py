@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import SKETCH, classes, hot_keys, shared_keys
-from .common import discard, filtered_by_keys, materialize, release, row_key
+from .common import discard, filtered_by_keys, materialize, release, row_key, worker_cache
 
 SHINGLE = 4
 #: Least similarity of linked sets, as parts of a hundred.
@@ -169,6 +169,7 @@ DESCRIBED = "doc_id long, k_id string, k_hash long, n long, node long, spare int
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, k_id, k_hash, text) as DESCRIBED; of equal sets of a task, the first has signatures and sketch."""
+    worker_cache("jaccard_join", _HASHES)
     seen: set[int] = set()
     for b in batches:
         for s in range(0, b.num_rows, 512):

@@ -45,9 +45,12 @@ cut AS (
   SELECT doc_id, 'line' AS kind, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
   UNION ALL
   SELECT doc_id, 'paragraph', regexp_split_to_array(coalesce(text, ''), '\\n[ \\t]*\\n') FROM documents
+  UNION ALL
+  SELECT doc_id, 'sentence', flatten(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_split_to_array(l, '[.!?][ \\t]+')), lambda a: len(a) > 1))
+  FROM documents
 ),
 p0 AS (SELECT doc_id, kind, unnest(parts) AS passage, generate_subscripts(parts, 1) AS number FROM cut),
-p1 AS (SELECT doc_id, kind, number, {_words("passage")} AS words FROM p0 WHERE kind = 'line' OR contains(passage, chr(10))),
+p1 AS (SELECT doc_id, kind, number, {_words("passage")} AS words FROM p0 WHERE kind <> 'paragraph' OR contains(passage, chr(10))),
 p AS (SELECT doc_id, kind, number, {_pairs("words")} AS pairs FROM p1 WHERE len(words) > 0),
 pb AS (SELECT doc_id, kind, number, len(pairs) AS n, unnest(pairs) AS pair FROM p),
 s AS (

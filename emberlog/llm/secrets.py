@@ -1,9 +1,10 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest, in SQL functions only.
 
-A candidate is what is assigned to a name that may hold a credential, or a long run of key characters. The
-forest sees its length, character classes and the transitions between them, the share of it that dictionary
-words cover, signs of a path, and the neighbouring words. It is trained on labelled findings that a seeded
-rule makes (real findings can be added), and scored as one expression over the features.
+A candidate is what is assigned to a name that may hold a credential, a long run of key characters, or a block
+of a private key. The forest sees its length, character classes and the transitions between them, the share of it
+that dictionary words cover, signs of a path, and the neighbouring words. It is trained on a table of labelled
+findings; where none is given, on findings that a seeded rule makes and labels. It is scored as one expression
+over the features.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from .common import materialize, row_key
 from .forest import as_sql, grow
 
 THRESHOLD = 0.5
-#: The name and sign of an assignment with its value, a quoted one up to the next such quote of its line, or a bare run.
-FINDING = r"""(?:[A-Za-z0-9_\-.]{2,30}["']?[ \t]{0,2}[=:][ \t]{0,2}(?:"[^"\n]{8,}+"|'[^'\n]{8,}+'|["']?[A-Za-z0-9+/_\-.=~]{8,}+))|(?:(?<![A-Za-z0-9+/_\-.=])[A-Za-z0-9+/_\-.]{20,}+={0,2})"""
-PARTS = r"""^(?:([A-Za-z0-9_\-.]{2,30})["']?[ \t]{0,2}[=:][ \t]{0,2})?(?:"([^"\n]{8,}+)"|'([^'\n]{8,}+)'|["']?([^"'\n]{8,}+))$"""
+#: A private key's block; the name and sign of an assignment with its value, a quoted one up to the next such quote of
+#: its line; or a bare run.
+FINDING = r"""(?:-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=:,\-\s]*?-----END (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----)|(?:[A-Za-z0-9_\-.]{2,30}["']?[ \t]{0,2}[=:][ \t]{0,2}(?:"[^"\n]{8,}+"|'[^'\n]{8,}+'|["']?[A-Za-z0-9+/_\-.=~!@#$%^&*?]{8,}+))|(?:(?<![A-Za-z0-9+/_\-.=])[A-Za-z0-9+/_\-.]{20,}+={0,2})"""
+PARTS = r"""^(?:(?:([A-Za-z0-9_\-.]{2,30})["']?[ \t]{0,2}[=:][ \t]{0,2})?(?:"([^"\n]{8,}+)"|'([^'\n]{8,}+)'|["']?([^"'\n]{8,}+))|(-----BEGIN[\s\S]+))$"""
 #: Words of names that hold credentials, of places that don't, of stand-ins, and of a dictionary.
 NAME_WORDS = "token|secret|passw|passwd|pwd|api_?key|apikey|access_?key|private|credential|auth|bearer"
 OTHER_WORDS = "sha|md5|hash|commit|digest|checksum|rev|uuid|guid|version|build|path|file|url|href|src|class|title|name|date|time|id|page|host"
@@ -92,6 +94,10 @@ def made_long_and_quoted(count: int = 800, seed: int = 13) -> list[tuple[str, st
         size = int(np.exp(rng.uniform(np.log(80), np.log(3000))))
         out.append((pick([*good, ""]), run(mixed + pick(["", "+/", "-_."]), size), 1))
         out.append((pick(good), run(mixed + "&!@#$%^*?", int(rng.integers(8, 25))), 1))
+        out.append((pick([*bad, "of", "said"]), words("", int(rng.integers(2, 5))) + run("%*&$#!?", 1) * int(rng.integers(1, 4)), 0))
+        kind = pick(["", "RSA ", "EC ", "OPENSSH ", "DSA ", "ENCRYPTED "])
+        block = f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(run(mixed + "+/", 64) for _ in range(int(rng.integers(1, 27)))) + f"\n-----END {kind}PRIVATE KEY-----"
+        out.append(("", block, 1))
         out.append((pick(bad), words(" ", int(rng.integers(3, 40))) + pick(["", ".", "!"]), 0))
         out.append((pick(bad), pick([words("/", int(rng.integers(12, 200))), words("-", int(rng.integers(12, 200))), run(string.digits, size)]), 0))
     return out
@@ -165,9 +171,22 @@ def _forest(session: int, findings: tuple) -> list:
     return grow(rows[:, 1:], rows[:, 0])
 
 
-def train(spark: SparkSession, findings: list[tuple] | None = None) -> list:
-    """Forest trained on labelled findings: (name before it, candidate, label), or these and the words before and after."""
-    return _forest(id(spark), tuple(findings or made_in_context()))
+#: Most labelled findings of a table that a forest is trained on: those of the smallest hashes.
+TRAIN_ROWS = 20_000
+LABELLED = ["key_name", "candidate", "label", "before", "after"]
+
+
+def train(spark: SparkSession, labelled: DataFrame | None = None) -> list:
+    """Forest trained on labelled findings, by default on made_in_context().
+
+    labelled: (key_name, candidate, label 0 or 1, before, after); null names and neighbours count as empty, rows
+    without candidate or label are left out.
+    """
+    if labelled is None:
+        return _forest(id(spark), tuple(made_in_context()))
+    text = [F.coalesce(F.col(c), F.lit("")).alias(c) if c not in ("candidate", "label") else F.col(c) for c in LABELLED]
+    rows = labelled.select(*text).dropna().orderBy(F.xxhash64(*LABELLED), *LABELLED).limit(TRAIN_ROWS).collect()
+    return _forest(id(spark), tuple(map(tuple, rows)))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -180,7 +199,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # piece i ends where finding i begins, piece i + 1 begins where it ends
     rows = base.select("k_id", "k_hash", F.posexplode(F.arrays_zip("all", *_around(F.split("text", FINDING)))).alias("number", "found")).filter("found.all is not null")
     part = lambda i: F.regexp_extract("found.all", PARTS, i)
-    return rows.select("k_id", "k_hash", "number", part(1).alias("key_name"), F.concat(part(2), part(3), part(4)).alias("candidate"), "found.before", "found.after")
+    return rows.select("k_id", "k_hash", "number", part(1).alias("key_name"), F.concat(part(2), part(3), part(4), part(5)).alias("candidate"), "found.before", "found.after")
 
 
 def _around(pieces: Column) -> tuple[Column, Column]:
@@ -197,8 +216,8 @@ def findings(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: st
     return scored.select("k_id", "k_hash", "number", "key_name", "candidate", "score", (F.col("score") >= threshold).alias("secret"))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, n_candidates, n_secrets, secrets (distinct, sorted).
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, labelled: DataFrame | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_candidates, n_secrets, secrets (distinct, sorted); labelled: as for train().
 
     Null and empty texts have no candidates; repeated rows each get a row; an empty table gives an empty result.
     Other columns are not read. A document's findings meet in one row, so its own length bounds them.
@@ -206,7 +225,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     key = ["k_id", "k_hash"]
     spark = docs.sparkSession
     # of repeated rows, each finding counts once: places are told apart by number
-    found = findings(docs, train(spark), id_col, text_col, threshold).groupBy(*key, "number").agg(F.max("candidate").alias("candidate"), F.max("secret").alias("secret"))
+    found = findings(docs, train(spark, labelled), id_col, text_col, threshold).groupBy(*key, "number").agg(F.max("candidate").alias("candidate"), F.max("secret").alias("secret"))
     found = found.groupBy(*key).agg(
         F.count("*").alias("n_candidates"), F.count_if("secret").alias("n_secrets"),
         F.array_sort(F.collect_set(F.when(F.col("secret"), F.col("candidate")))).alias("secrets"),

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 
+from .common import worker_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept by one Python worker at most.
@@ -29,7 +31,7 @@ class Encoder:
     """Callable: text -> list of ids, as the tokenizer file gives them without special tokens."""
 
     def __init__(self, path: str):
-        known = _WORKER.get(path)
+        known = worker_cache("tokens", _WORKER).get(path)
         if known is not None:
             self.__dict__ = known.__dict__
             return

@@ -1,15 +1,18 @@
-"""Toxicity: a subsequence string-kernel SVM with Nystroem landmarks.
+"""Toxicity: a subsequence string-kernel SVM with Nystroem landmarks, trained on labelled sentences.
 
 The kernel of two words counts their common subsequences of three characters (word ends included) whose gaps
 are at most MAX_GAP wide, each gap weighing DECAY, over the product of both words' norms; an inserted or
-dropped character therefore keeps most of a word's similarity. Words come from sentences: sentences of toxic
-documents are bags of which only some words are toxic, so the words that tell the labelled sentences apart
-are taken as positive instances and words of clean sentences as negative ones. A linear SVM (squared hinge)
-is trained on the words' Nystroem features over landmark words. As the features are linear in kernel values,
-the trained machine is folded into one weight per subsequence, and a word is scored by summing table entries.
-
-A sentence's score is its best word's; a document's probability is a logistic function of its best words'
-scores and of how many are positive, fitted on scores of folds that the word machine had not seen.
+dropped character therefore keeps most of a word's similarity. Labels are of documents: a toxic document's
+sentences, and a toxic sentence's words, are bags of which only some members are toxic. So this is a multiple
+instance machine: a sentence's score is that of its most toxic word, and the words that tell the labelled
+sentences apart (by the documents of either label in whose sentences they stand) are the positive instances,
+words of clean sentences the negative ones. A linear SVM (squared hinge) is trained on the instances' Nystroem features over
+landmark words. As the features are linear in kernel values, the trained machine is folded into one weight per
+subsequence, and a word is scored by summing table entries.
+
+A document's probability is a logistic function of its worst sentences' scores and of how many sentences are
+positive, fitted on scores of folds that the machine had not seen. Training and scoring cut texts into sentences
+and words alike.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
 from .labelled import held_out, training_rows
 
 #: Most labelled rows that a model is fitted on.
@@ -34,8 +38,9 @@ POSITIVES, NEGATIVES, HARD = 500, 5000, 2000
 #: Least evidence (twice a log likelihood ratio) that a word tells toxic sentences from clean ones.
 SURE = 22.0
 FOLDS = 3
-#: Characters of a word that are looked at in one scoring row; longer words are scored in overlapping parts.
+#: Characters of a word in one row of codes; longer words have several rows, which overlap by what a subsequence spans.
 WIDTH = 28
+OVERLAP = 2 * (MAX_GAP + 1)
 BITS = 18
 #: Word scores that a worker keeps at most.
 CACHE = 80_000
@@ -59,7 +64,7 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, owner = [], []
     for i, w in enumerate(words):
         full = f"^{w}$"
-        for s in range(0, max(1, len(full) - 4), WIDTH - 4):
+        for s in range(0, max(1, len(full) - OVERLAP), WIDTH - OVERLAP):
             rows.append(full[s : s + WIDTH])
             owner.append(i)
     chars = np.zeros((len(rows), WIDTH), np.uint64)
@@ -91,6 +96,7 @@ class WordMachine:
     """Score of a word: above 0 for words like those that tell toxic sentences apart."""
 
     def fit(self, bags: list[list[str]], y: np.ndarray) -> WordMachine:
+        """bags: the distinct words of each document's sentences; y: its label."""
         self.table, self.bias = np.zeros(1 << BITS, np.float32), -1.0
         toxic, clean = Counter(), Counter()
         for bag, label in zip(bags, y, strict=True):
@@ -116,29 +122,29 @@ class WordMachine:
     def _train(self, positive: list[str], worth: np.ndarray, negative: list[str]) -> None:
         words = positive + negative
         target = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        codes, weights, owner = _codes(words)
-        single = np.concatenate([[True], owner[1:] != owner[:-1]])
-        codes, weights = codes[single], weights[single]  # the first part of long words is enough to learn from
+        codes, weights, owner = _codes(words)  # a long word's rows are instances each: it scores as its best one
+        target, worth = target[owner], np.concatenate([worth, np.full(len(negative), 0.25)])[owner]
+        ahead = np.flatnonzero(target > 0)
         norm = np.sqrt(np.maximum((weights**2).sum(1), 1e-9))
 
         def kernel(marks: np.ndarray) -> np.ndarray:
-            out = np.empty((len(words), len(marks)), np.float32)
+            out = np.empty((len(owner), len(marks)), np.float32)
             for j, m in enumerate(marks):
                 t = np.zeros(1 << BITS, np.float32)
                 np.add.at(t, codes[m], weights[m] / norm[m])
                 out[:, j] = (t[codes] * weights).sum(1) / norm
             return out
 
-        ahead = np.arange(min(len(positive), LANDMARKS // 2))
-        close = kernel(ahead).max(1)
-        close[: len(positive)] = -1
-        marks = np.concatenate([ahead, np.argsort(-close, kind="stable")[: LANDMARKS - len(ahead)]])
+        best = ahead[: LANDMARKS // 2]
+        close = kernel(best).max(1)
+        close[ahead] = -1
+        marks = np.concatenate([best, np.argsort(-close, kind="stable")[: LANDMARKS - len(best)]])
         k = kernel(marks).astype(float)
         values, vectors = np.linalg.eigh((k[marks] + k[marks].T) / 2)
         keep = values > 1e-4 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        z = np.concatenate([k @ root, np.ones((len(words), 1))], 1)
-        cost = np.concatenate([4.0 * worth, np.ones(len(negative))])
+        z = np.concatenate([k @ root, np.ones((len(owner), 1))], 1)
+        cost = 4.0 * worth
         w = np.zeros(z.shape[1])
         ridge = np.full(z.shape[1], 0.3)
         ridge[-1] = 1e-3
@@ -165,24 +171,37 @@ class WordMachine:
         return out
 
 
-def bag_figures(scores: np.ndarray) -> list[float]:
-    """What the document's logistic function sees of its distinct words' scores."""
-    top = np.sort(scores[np.argpartition(-scores, TOP - 1)[:TOP]] if len(scores) > TOP else scores)[::-1]
-    top = np.concatenate([top, np.full(max(0, TOP - len(top)), -2.0)]).clip(-2, 2)
-    n = max(1, len(scores))
-    return [*top, np.log1p((scores > 0).sum()), np.log1p((scores > 0.5).sum()), (scores > 0).sum() / n, np.log(n)]
+def figures_of(sentences: list[list[str]], score) -> list[float]:
+    """What the document's logistic function sees: its sentences' scores, and what share of its words is positive.
+
+    Sentences whose worst words are the same count once among the scores, as a repeated line says nothing more.
+    """
+    if not sentences:
+        return [*[-2.0] * TOP, 0.0, 0.0, 0.0, 0.0, 0.0]
+    each = np.fromiter((score(w) for s in sentences for w in s), np.float32)
+    scores = np.maximum.reduceat(each, np.cumsum([0, *map(len, sentences[:-1])]))
+    top = np.unique(scores)[: -TOP - 1 : -1]
+    top = np.concatenate([top, np.full(TOP - len(top), -2.0)]).clip(-2, 2)
+    words = {w for s in sentences for w in s}
+    toxic = [x for w in words if (x := score(w)) > 0] if top[0] > 0 else []
+    return [*top, np.log1p(len(toxic)), np.log1p(sum(x > 0.5 for x in toxic)), len(toxic) / len(words), np.log(len(words)), (scores > 0).mean()]
 
 
 class ToxicityModel:
-    def fit(self, bags: list[list[str]], y: np.ndarray) -> ToxicityModel:
-        fold = np.arange(len(bags)) % FOLDS
-        x = np.zeros((len(bags), TOP + 4))
+    def fit(self, docs: list[list[list[str]]], y: np.ndarray) -> ToxicityModel:
+        """docs: the sentences of each document, as words; y: its label."""
+        bags = [list(dict.fromkeys(w for s in d for w in s)) for d in docs]
+        fold = np.arange(len(docs)) % FOLDS
+        x = np.zeros((len(docs), TOP + 5))
         for k in range(FOLDS):
             machine = WordMachine().fit([b for b, f in zip(bags, fold, strict=True) if f != k], y[fold != k])
-            for i in np.flatnonzero(fold == k):
-                x[i] = bag_figures(machine.score(bags[i]))
+            own = np.flatnonzero(fold == k)
+            words = list(dict.fromkeys(w for i in own for w in bags[i]))
+            known = dict(zip(words, machine.score(words).tolist(), strict=True))
+            for i in own:
+                x[i] = figures_of(docs[i], known.__getitem__)
         self.machine = WordMachine().fit(bags, y)
-        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(TOP + 4), np.ones(TOP + 4))
+        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(TOP + 5), np.ones(TOP + 5))
         z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], 1)
         w = np.zeros(z.shape[1])
         w[-1] = -4.0 if not y.any() else 0.0
@@ -199,39 +218,41 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def distinct_words(text: str) -> list[str]:
-    return list(dict.fromkeys(w for s in SENTENCE.split(text) for w in words_of(s)))
+def sentences_of(text: str) -> list[list[str]]:
+    """The words of each sentence that has any."""
+    return [words for s in SENTENCE.split(text) if (words := words_of(s))]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Model fitted on at most `rows` labelled rows outside the held-out fold."""
+    """Model fitted on the sentences of at most `rows` labelled rows outside the held-out fold."""
 
     def task(batches):
         for b in batches:
-            bags = [distinct_words(t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bags, pa.list_(pa.string()))], ["d_id", "label", "bag"])
+            found = [sentences_of(t.as_py() or "") for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.list_(pa.string())))], ["d_id", "label", "sentences"])
 
-    found = training_rows(docs, labels, "toxic", rows).mapInArrow(task, "d_id long, label int, bag array<string>").toArrow()
+    found = training_rows(docs, labels, "toxic", rows).mapInArrow(task, "d_id long, label int, sentences array<array<string>>").toArrow()
     known: dict[str, str] = {}  # each word is held once
     one = known.setdefault
-    bags = [(i, y, [one(w, w) for w in bag.as_py()]) for i, y, bag in zip(*(found.column(c).to_pylist() if c < 2 else found.column(c) for c in range(3)), strict=True)]
+    made = [(i, y, [[one(w, w) for w in s] for s in d.as_py()]) for i, y, d in zip(*(found.column(c).to_pylist() if c < 2 else found.column(c) for c in range(3)), strict=True)]
     del found
-    bags.sort()
-    return ToxicityModel().fit([b[2] for b in bags], np.array([b[1] for b in bags], float))
+    made.sort()
+    return ToxicityModel().fit([d for _, _, d in made], np.array([y for _, y, _ in made], float))
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: ToxicityModel, known: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    worker_cache("toxicity", known)
     for b in batches:
         for s in range(0, b.num_rows, 256):
             part = b.slice(s, 256)
-            bags = [list(dict.fromkeys(words_of(t.as_py() or ""))) for t in part.column(2)]
-            new = list(dict.fromkeys(w for bag in bags for w in bag if w not in known))
+            docs = [sentences_of(t.as_py() or "") for t in part.column(2)]
+            words = {w for d in docs for x in d for w in x}
+            new = [w for w in words if w not in known]
             if len(known) + len(new) > CACHE:
                 known.clear()
-                new = list(dict.fromkeys(w for bag in bags for w in bag))
+                new = list(words)
             known.update(zip(new, model.machine.score(new).tolist(), strict=True))
-            get = known.__getitem__
-            figures = np.array([bag_figures(np.fromiter(map(get, bag), np.float32, len(bag))) for bag in bags], float)
+            figures = np.array([figures_of(d, known.__getitem__) for d in docs], float)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(model.probability(figures))], ["doc_id", "held_out", "score"])
 
 
@@ -252,7 +273,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without its toxic rows, in its own columns; rows are judged and passed on in one pass."""
+    """docs without its toxic rows, in its own columns; rows are judged and passed on in one pass.
+
+    Null and empty texts are judged as texts without words, repeated rows each for itself; an empty table stays empty.
+    """
 
     def task(batches):
         known: dict[str, float] = {}

@@ -46,7 +46,7 @@ def test_kernel_tolerates_insertions():
 
 
 def test_drop_toxic(spark, docs, rows):
-    model = toxicity.ToxicityModel().fit([["bad", "word"], ["fine", "word"]] * 30, np.array([1.0, 0.0] * 30))
+    model = toxicity.ToxicityModel().fit([[["bad", "word"]], [["fine", "word"]]] * 30, np.array([1.0, 0.0] * 30))
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns
     want = sorted((str(r.doc_id) for r in toxicity.score_toxicity(docs, model).collect() if r.score < 0.7))

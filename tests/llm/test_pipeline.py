@@ -26,8 +26,22 @@ def test_stages_take_effect(spark):
     now = docs.filter(docs.doc_id.isin(list(left)))
     left &= {r.doc_id for r in exact_groups(now).collect() if r.kept}
     now = docs.filter(docs.doc_id.isin(list(left)))
-    left &= {r.component_id for r in jaccard_classes(now).collect()}
+    left &= {r.component_id for r in jaccard_classes(now, shingle=5, percent=80).collect()}
     now = docs.filter(docs.doc_id.isin(list(left)))
     left -= {r.doc_id for r in contamination(now, bench).collect() if r.contaminated}
     got = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == left and 0 < len(got) < docs.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stages_on_odd_tables(spark, docs, rows, empty):
+    """Nulls in any column, repeated rows, clashing columns and an empty table go through every stage."""
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, kept, SF)
+        assert stage(spark, empty, SF).count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns, name
+            assert out.filter("text is null").count() == 1 or name not in ("toxicity", "exact_dedup"), name
+            kept = spark.createDataFrame(out.collect(), docs.schema)
+    assert kept.count() < len(rows) and out.count() >= kept.count()
