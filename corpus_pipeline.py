@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity filter, exact dedup, near dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and gets the whole of what its predecessor kept, written as Parquet
-and read again; all but the last return the columns of documents.
+and read again; all but the last return the columns of documents. In every stage a null text counts as an empty
+one, null ids are allowed, rows repeated in id and text are decided on alike (but exact and near dedup leave one
+of them), and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of linked documents."""
-    return keep_one(docs)
+    """One document, that of the smallest id, of each component of documents of five-word similarity 0.8 or more."""
+    return keep_one(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
