@@ -42,6 +42,5 @@ def test_stages_on_odd_tables(spark, docs, rows, empty):
         assert stage(spark, empty, SF).count() == 0, name
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns, name
-            assert out.filter("text is null").count() == 1 or name not in ("toxicity", "exact_dedup"), name
             kept = spark.createDataFrame(out.collect(), docs.schema)
     assert kept.count() < len(rows) and out.count() >= kept.count()
