@@ -5,11 +5,11 @@ wanted similarity differ in at most k elements, where k depends on the band alon
 divided into n1 partitions of n2 parts. With n1 = (k + 1) / (k2 + 1), some partition holds at most k2 of the
 differing elements, so some n2 - k2 of its parts are the same in both sets: a signature is the hash of one
 such subset of parts, and sets that link share at least one. `extra` more partitions guarantee extra + 1
-shared ones, so a set may leave out up to `extra` signatures by a rule that both sets follow alike. Part of
-them are those that rest on hardly any element; the others, `spare`, are those that most sets have, as the
-signatures that rest on a passage alone which many documents quote. A rule leaves out what is beyond a
-threshold; of the signatures that two sets share, the set with the stricter threshold lacks all that the
-other lacks, and it lacks no more than its allowance, so one remains.
+shared ones, so a set may leave out up to `extra` signatures if all sets do so in one order: first those that rest
+on no element (all of them, or none if there are more), then, as far as that leaves some to spare, those that
+most sets have, as the signatures that rest alone on a passage which many documents quote. Of the signatures that
+two sets share, the set that goes further in that order lacks all that the other lacks, and it lacks no more than
+`extra`, so one remains.
 
 Sets that share a signature are candidates (cluster.py). Verification is exact: parity sketches, whose
 differing bits are never more than the sets' differing elements, rule out most pairs, and the others are
@@ -36,8 +36,6 @@ SHINGLE = 4
 PERCENT = 85
 BAND_RATIO = 1.35
 K2, N2 = 1, 3
-#: Elements that a signature must rest on to be worth its row; others are left out as far as `extra` allows.
-LEAST_ELEMENTS = 3
 #: Documents that share a signature which may be left out for being frequent.
 FREQUENT = 16
 #: One document in so many tells which signatures are so frequent that their rows are dealt over tasks.
@@ -103,25 +101,22 @@ class Bands:
         t = int(np.searchsorted(self._starts, size, "right")) - 1
         return [t, t + 1] if Fraction(size) / self.gamma >= self.starts[t + 1] else [t]
 
-    def shape(self, band: int) -> tuple[int, int, int]:
-        """Partitions of a band, and how many signatures a set may leave out: as weak ones, as frequent ones."""
+    def shape(self, band: int) -> tuple[int, int]:
+        """Partitions of a band, and how many signatures a set may leave out."""
         k = self.differing(band)
         extra = k // 6
-        return -(-(k + 1) // (K2 + 1)) + extra, extra - extra // 2, extra // 2
+        return -(-(k + 1) // (K2 + 1)) + extra, extra
 
-    def spare(self, size: int) -> int:
-        """How many frequent signatures a set of this size may leave out, whichever band a partner has in common."""
-        return min(self.shape(band)[2] for band in self.of(size))
 
-
-def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a set of hashes, for all its bands."""
-    out = []
+def signatures(x: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
+    """Signatures of a set of hashes, for all its bands, and how many of them it may spare whatever band a partner shares."""
+    out, spare = [], []
     for band in bands.of(len(x)):
         if bands.differing(band) == 0:
             out.append(_mix(np.array([x.sum()], np.uint64) + np.array([band], np.uint64) * _M1))
+            spare.append(0)
             continue
-        n1, weak, _ = bands.shape(band)
+        n1, extra = bands.shape(band)
         parts = n1 * N2
         at = ((_mix(x ^ np.uint64(band)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         total = np.zeros(parts, np.uint64)
@@ -136,10 +131,11 @@ def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
             for c in chosen:
                 made[j] = _mix(made[j] * _M1 + total[:, c])
                 held[j] += count[:, c]
-        # the highest level whose weak signatures the set may leave out
-        level = next((v for v in range(LEAST_ELEMENTS, 0, -1) if (held < v).sum() <= weak), 0)
-        out.append(made[held >= level])
-    return np.concatenate(out)
+        some = held > 0
+        gone = int((~some).sum())
+        out.append(made[some] if gone <= extra else made.ravel())
+        spare.append(max(0, extra - gone))
+    return np.concatenate(out), min(spare)
 
 
 def _identity(x: np.ndarray) -> int:
@@ -182,8 +178,9 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterat
                 if len(x) and ident[-1] not in seen:
                     if len(seen) < SEEN:
                         seen.add(ident[-1])
-                    spare.append(bands.spare(len(x)))
-                    sigs.append(signatures(x, bands).view(np.int64))
+                    made, left = signatures(x, bands)
+                    spare.append(left)
+                    sigs.append(made.view(np.int64))
                     marks.append(sketch(x))
                     words.append(np.frombuffer(sketch(x, 64 * len(SKETCH)), np.int64))
                 else:
@@ -193,8 +190,8 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterat
                     words.append(np.zeros(len(SKETCH), np.int64))
             ends = np.cumsum([0, *map(len, sigs)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs), pa.int64()))
-            made = [pa.array(n, pa.int64()), pa.array(ident, pa.int64()), pa.array(spare, pa.int32()), flat, pa.array(marks, pa.binary()), *map(pa.array, np.array(words).T)]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *made], [c.split()[0] for c in DESCRIBED.split(", ")])
+            columns = [pa.array(n, pa.int64()), pa.array(ident, pa.int64()), pa.array(spare, pa.int32()), flat, pa.array(marks, pa.binary()), *map(pa.array, np.array(words).T)]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *columns], [c.split()[0] for c in DESCRIBED.split(", ")])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
