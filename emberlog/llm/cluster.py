@@ -129,10 +129,14 @@ def classes(members: DataFrame, linked: Callable[[DataFrame], DataFrame], ratio:
             break
         live = materialize(live.join(spread.select("key"), "key", "left_semi"), "live")
         discard(*old)
+        release(spark)
         few = pairs_left <= PAIRS_PER_ROW * rows or number > 1 and rows > (1 - PROGRESS) * before
         every, before = number == STAR_ROUNDS or number > 0 and few, rows
         pairs = _all_pairs(live, spread, ratio, sketches) if every else _heads(live, spread, number, ratio)
+        pairs = materialize(pairs, "pairs")
+        release(spark)
         links = linked(pairs)
+        discard(pairs)
         merged = materialize(connected_components(links, "ca", "cb"), "merged")
         if parts is None:
             parts = merged

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +39,8 @@ BAND_RATIO = 1.35
 K2, N2 = 1, 3
 #: Documents that share a signature which may be left out for being frequent.
 FREQUENT = 16
+#: Parts of the signatures that are dealt out one after the other, so that the shuffle files of one are gone before the next.
+PASSES = 3
 #: One document in so many tells which signatures are so frequent that their rows are dealt over tasks.
 SAMPLE = 16
 #: Word hashes that a worker keeps, and set identities that a task remembers.
@@ -276,8 +279,12 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
     described = materialize(texts.mapInArrow(describe, DESCRIBED), "described")
     sample = described.filter(F.pmod(F.xxhash64("k_id", "k_hash"), F.lit(SAMPLE)) == 0).select(F.explode("sigs").alias("key"))
-    shared = shared_keys(described.select(F.explode("sigs").alias("key"), "node"), hot_keys(sample, SAMPLE))
-    shared = materialize(shared.distinct(), "shared")
+    hot, parts = hot_keys(sample, SAMPLE), []
+    for number in range(PASSES):
+        rows = described.select(F.explode("sigs").alias("key"), "node").filter(F.pmod("key", F.lit(PASSES)) == number)
+        parts.append(materialize(shared_keys(rows, hot).distinct(), "shared"))
+        release(spark)
+    shared = reduce(DataFrame.unionByName, parts)
     flat = materialize(described.drop("sigs"), "sets")
     discard(described)
     release(spark)
@@ -286,10 +293,11 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     nodes = nodes.agg(row.alias("row"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max(F.struct("mark", *SKETCH)).alias("marked"))
     nodes = materialize(nodes.select("node", "row.k_id", "row.k_hash", "n", "spare", "marked.*"), "nodes")
     members = materialize(_without_frequent(shared, nodes), "members")
-    discard(shared)
+    discard(*parts)
+    release(spark)
     repeated = not flat.groupBy("k_id", "k_hash").count().filter("count > 1").isEmpty()
-    parts = classes(members, _Texts(texts, nodes, repeated, shingle, percent).linked, percent / 100, nodes.select("node", *SKETCH))
-    out = flat.join(parts, "node", "left").select("doc_id", "k_id", "k_hash", "n", F.coalesce("component", "node").alias("root"))
+    found = classes(members, _Texts(texts, nodes, repeated, shingle, percent).linked, percent / 100, nodes.select("node", *SKETCH))
+    out = flat.join(found, "node", "left").select("doc_id", "k_id", "k_hash", "n", F.coalesce("component", "node").alias("root"))
     out = materialize(out, "rooted")
     discard(nodes, members, flat)
     release(spark)
