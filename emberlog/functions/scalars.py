@@ -21,12 +21,13 @@ def ratio(n: Column | str, d: Column | str) -> Column:
     return as_column(n).cast("double") / F.nullif(as_column(d).cast("double"), F.lit(0.0))
 
 
-#: Added before rounding, so that a decimal tie that binary fractions miss goes up on every engine.
-NUDGE = 1e-9
+#: Decimal places that a double is taken to before it is rounded: ties that binary fractions miss are ties again,
+#: and go away from zero on either side of it.
+EXACT = "decimal(38,12)"
 
 
 def rounded(x: Column, places: int) -> Column:
-    return F.round(x + F.lit(NUDGE), places)
+    return F.round(x.cast(EXACT), places).cast("double")
 
 
 def percent(n: Column | str, d: Column | str, places: int = 2) -> Column:

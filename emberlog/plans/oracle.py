@@ -10,8 +10,12 @@ def _diff(a: str, b: str) -> str:
     return "(" + _SECONDS.format(a, b) + ")"
 
 
+def _round(x: str, places: int) -> str:
+    return f"round(CAST({x} AS DECIMAL(38,12)), {places})::DOUBLE"
+
+
 def _pct(n: str, d: str) -> str:
-    return f"round(100.0::DOUBLE * ({n}) / nullif({d}, 0) + 1e-9, 2)"
+    return _round(f"100.0::DOUBLE * ({n}) / nullif({d}, 0)", 2)
 
 
 _A, _N = "label = 'Anomaly'", "label = 'Normal'"
@@ -110,7 +114,7 @@ ep AS (
   SELECT episode_id, min(first_event_time) AS episode_start, max(last_event_time) AS episode_end,
          {_diff("min(first_event_time)", "max(last_event_time)")} AS episode_duration_seconds, count(*) AS n_incidents, count(DISTINCT block_id) AS n_distinct_blocks,
          count_if(severity = 'HIGH')::BIGINT AS n_high_severity, count_if(severity = 'MEDIUM')::BIGINT AS n_medium_severity, sum(event_count)::BIGINT AS total_events,
-         round(avg(events_per_second) + 1e-9, 4) AS avg_events_per_second, round(max(events_per_second), 4) AS max_events_per_second, round(avg(component_diversity) + 1e-9, 4) AS avg_component_diversity
+         round(CAST(avg(events_per_second) AS DECIMAL(38,12)), 4)::DOUBLE AS avg_events_per_second, round(max(events_per_second), 4) AS max_events_per_second, round(CAST(avg(component_diversity) AS DECIMAL(38,12)), 4)::DOUBLE AS avg_component_diversity
   FROM mem GROUP BY episode_id
 ),
 evb AS (
@@ -140,7 +144,7 @@ def _values(name: str, numbers: list) -> str:
 
 
 def _f1(p: str, r: str) -> str:
-    return f"round(2.0::DOUBLE * ({p}) * ({r}) / nullif(({p}) + ({r}), 0) + 1e-9, 4)"
+    return f"round(CAST(2.0::DOUBLE * ({p}) * ({r}) / nullif(({p}) + ({r}), 0) AS DECIMAL(38,12)), 4)::DOUBLE"
 
 
 def _share(n: str, d: str) -> str:
@@ -156,11 +160,11 @@ n AS (SELECT (SELECT count(*) FROM det) AS detected_blocks, (SELECT count(*) FRO
              (SELECT count(*) FROM det WHERE block_id NOT IN (SELECT block_id FROM act2)) AS false_positives,
              (SELECT count(*) FROM act2 WHERE block_id NOT IN (SELECT block_id FROM det)) AS false_negatives, (SELECT count(*) FROM seen) AS blocks_seen),
 q AS (SELECT *, coalesce(true_positives::DOUBLE / nullif(detected_blocks, 0), 0) AS p, coalesce(true_positives::DOUBLE / nullif(actual_anomalies, 0), 0) AS r FROM n)
-SELECT * EXCLUDE (p, r), round(p, 6) AS precision, round(r, 6) AS recall, coalesce(round(2 * p * r / nullif(p + r, 0) + 1e-9, 6), 0) AS f1_score FROM q"""
+SELECT * EXCLUDE (p, r), round(p, 6) AS precision, round(r, 6) AS recall, coalesce(round(CAST(2 * p * r / nullif(p + r, 0) AS DECIMAL(38,12)), 6)::DOUBLE, 0) AS f1_score FROM q"""
 
 
 def _avg(c: str, places: int) -> str:
-    return f"round(avg({c}) + 1e-9, {places})"
+    return f"round(CAST(avg({c}) AS DECIMAL(38,12)), {places})::DOUBLE"
 
 
 _DERIVED = f"""count(*) AS blocks, {_avg("events_per_second", 4)} AS avg_events_per_second, {_avg("events_per_component", 4)} AS avg_events_per_component,
@@ -232,7 +236,7 @@ PARTS = {
     "block_derived": "SELECT * FROM der",
     "derived_summary": f"SELECT {_DERIVED} FROM der",
     "derived_by_label": f"SELECT label, {_DERIVED}, {_avg('active_duration_seconds', 2)} AS avg_duration_seconds FROM der JOIN labels USING (block_id) GROUP BY label",
-    "feature_percentiles": f"SELECT label, round(quantile_cont(events_per_second, 0.25) + 1e-9, 4) AS eps_p25, round(median(events_per_second) + 1e-9, 4) AS eps_median, round(quantile_cont(events_per_second, 0.75) + 1e-9, 4) AS eps_p75, round(quantile_cont(active_duration_seconds, 0.25) + 1e-9, 2) AS duration_p25, round(median(active_duration_seconds) + 1e-9, 2) AS duration_median, round(quantile_cont(active_duration_seconds, 0.75) + 1e-9, 2) AS duration_p75, round(median(component_diversity) + 1e-9, 4) AS diversity_median, {_avg('component_diversity', 4)} AS diversity_avg FROM der JOIN labels USING (block_id) GROUP BY label",
+    "feature_percentiles": f"SELECT label, round(CAST(quantile_cont(events_per_second, 0.25) AS DECIMAL(38,12)), 4)::DOUBLE AS eps_p25, round(CAST(median(events_per_second) AS DECIMAL(38,12)), 4)::DOUBLE AS eps_median, round(CAST(quantile_cont(events_per_second, 0.75) AS DECIMAL(38,12)), 4)::DOUBLE AS eps_p75, round(CAST(quantile_cont(active_duration_seconds, 0.25) AS DECIMAL(38,12)), 2)::DOUBLE AS duration_p25, round(CAST(median(active_duration_seconds) AS DECIMAL(38,12)), 2)::DOUBLE AS duration_median, round(CAST(quantile_cont(active_duration_seconds, 0.75) AS DECIMAL(38,12)), 2)::DOUBLE AS duration_p75, round(CAST(median(component_diversity) AS DECIMAL(38,12)), 4)::DOUBLE AS diversity_median, {_avg('component_diversity', 4)} AS diversity_avg FROM der JOIN labels USING (block_id) GROUP BY label",
     "duration_sweep": f"SELECT duration_threshold::INT AS duration_threshold, {_MATCH}, {_pct(f'count_if({_A})', 'count(*)')} AS precision_pct, {_pct(f'count_if({_A})', 'max(t)')} AS recall_pct FROM der JOIN labels USING (block_id), {_values('duration_threshold', [15, 30, 45, 60, 90, 120])}, {_OBSERVED} WHERE active_duration_seconds <= duration_threshold GROUP BY duration_threshold",
     "duration_eps_grid": f"SELECT duration_threshold::INT AS duration_threshold, eps_threshold, {_MATCH}, {_pct(f'count_if({_A})', 'count(*)')} AS precision_pct, {_pct(f'count_if({_A})', 'max(t)')} AS recall_pct, {_f1(_P, _R)} AS f1_score FROM der JOIN labels USING (block_id), {_values('duration_threshold', [10, 15, 20, 30])}, {_values('eps_threshold', [0.5, 0.75, 1.0, 1.25])}, {_OBSERVED} WHERE active_duration_seconds <= duration_threshold AND events_per_second >= eps_threshold GROUP BY duration_threshold, eps_threshold",
     "anomaly_scores": "SELECT * FROM sc",
@@ -249,10 +253,11 @@ FROM (SELECT rule_name, count_if(p AND {_A})::BIGINT AS tp, count_if(p AND {_N})
     "incident_ranking": "SELECT block_id, severity, events_per_second, component_diversity, active_duration_seconds, rank() OVER (ORDER BY events_per_second DESC NULLS LAST) AS overall_rank, dense_rank() OVER (PARTITION BY severity ORDER BY events_per_second DESC NULLS LAST) AS rank_within_severity FROM inc ORDER BY overall_rank, block_id LIMIT 30",
     "eps_quartiles": "SELECT * FROM quart",
     "incident_rate_by_quartile": f"SELECT eps_quartile, count(*) AS total_blocks, count(i.block_id) AS flagged_incidents, {_pct('count(i.block_id)', 'count(*)')} AS incident_rate_pct FROM quart q LEFT JOIN inc i USING (block_id) GROUP BY eps_quartile",
-    "incident_share_by_quartile": "SELECT eps_quartile, count(*) AS incidents, count_if(severity = 'HIGH')::BIGINT AS high_severity, count_if(severity = 'MEDIUM')::BIGINT AS medium_severity, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER () + 1e-9, 2) AS pct_of_all_incidents FROM quart JOIN inc USING (block_id) GROUP BY eps_quartile",
+    "incident_share_by_quartile": "SELECT eps_quartile, count(*) AS incidents, count_if(severity = 'HIGH')::BIGINT AS high_severity, count_if(severity = 'MEDIUM')::BIGINT AS medium_severity, round(CAST(100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS DECIMAL(38,12)), 2)::DOUBLE AS pct_of_all_incidents FROM quart JOIN inc USING (block_id) GROUP BY eps_quartile",
     "incident_timeline": "SELECT block_id, severity, first_event_time, last_event_time, prev_incident_start, gap_seconds AS seconds_since_prev_incident, next_incident_start FROM gp",
-    "gap_summary": "SELECT count(*) AS incidents, min(gap_seconds) AS min_gap_seconds, round(avg(gap_seconds) + 1e-9, 2) AS avg_gap_seconds, median(gap_seconds) AS median_gap_seconds, max(gap_seconds) AS max_gap_seconds, count_if(gap_seconds <= 60)::BIGINT AS within_60_sec, count_if(gap_seconds > 60)::BIGINT AS over_60_sec FROM gp",
-    "gap_histogram": "SELECT gap_seconds, count(*) AS occurrences, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER () + 1e-9, 2) AS pct_of_gaps FROM gp WHERE gap_seconds IS NOT NULL GROUP BY gap_seconds",
+    "labels_csv_load": "SELECT block_id, label FROM labels",
+    "gap_summary": "SELECT count(*) AS incidents, min(gap_seconds) AS min_gap_seconds, round(CAST(avg(gap_seconds) AS DECIMAL(38,12)), 2)::DOUBLE AS avg_gap_seconds, median(gap_seconds) AS median_gap_seconds, max(gap_seconds) AS max_gap_seconds, count_if(gap_seconds <= 60)::BIGINT AS within_60_sec, count_if(gap_seconds > 60)::BIGINT AS over_60_sec FROM gp",
+    "gap_histogram": "SELECT gap_seconds, count(*) AS occurrences, round(CAST(100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS DECIMAL(38,12)), 2)::DOUBLE AS pct_of_gaps FROM gp WHERE gap_seconds IS NOT NULL GROUP BY gap_seconds",
     "episode_threshold_sweep": "SELECT " + ", ".join(f"count_if(gap_seconds > {g})::BIGINT + 1 AS episodes_at_{g}_sec" for g in (1, 2, 5, 10, 15, 20, 30)) + " FROM gp",
     "incident_episodes": "SELECT * FROM ep",
     "episode_members": "SELECT episode_id, block_id, severity, events_per_second, component_diversity, first_event_time, last_event_time, gap_seconds FROM mem",

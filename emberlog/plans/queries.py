@@ -681,6 +681,13 @@ def rca_episode_purity(s):
     return evidence.labelled_purity(s.members, s.labels, EPISODE)
 
 
+@query
+def labels_csv_load(s):
+    path = scratch_path(s.spark, "labels")
+    s.labels.select("block_id", "label").write.option("header", True).option("quoteAll", True).csv(path)
+    return log_lines.load_labels_csv(s.spark, path)
+
+
 # -- streaming, run over what is there ----------------------------------------------------------------
 
 

@@ -1,4 +1,8 @@
-"""The relations that queries read, built on first use from one set of tables."""
+"""The relations that queries read, built on first use from one set of tables.
+
+A store begins with raw events and labels. Store(spark, sf_dir) makes both from the table `events`, of(...) takes
+any two relations, and of_folder(...) reads what the streaming job and the label load have stored.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import behavior, episodes, evidence, star, windows
-from ..sources.log_lines import ground_truth_labels, raw_log_events
+from ..sources.log_lines import RAW_SCHEMA, at_rest, ground_truth_labels, load_labels_csv, raw_log_events
 
 
 class Store:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @classmethod
+    def of(cls, raw: DataFrame, labels: DataFrame) -> Store:
+        """A store over given relations of RAW_SCHEMA and LABEL_SCHEMA; other columns are not read."""
+        store = cls(raw.sparkSession, "")
+        columns = [c.split()[0] for c in RAW_SCHEMA.split(", ")]
+        store.__dict__ |= {"raw": at_rest(raw.select(*columns)), "labels": labels.select("block_id", "label")}
+        return store
+
+    @classmethod
+    def of_folder(cls, spark: SparkSession, folder: str, labels: str | None = None) -> Store:
+        """A store over the stream's table raw_events in a folder, and a label CSV, by default labels.csv there.
+
+        A folder with events.parquet gives the synthetic log.
+        """
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/raw_events")
+        if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            return cls(spark, folder)
+        raw = spark.read.schema(RAW_SCHEMA.replace("timestamp_ntz", "timestamp")).parquet(f"{folder}/raw_events")
+        return cls.of(raw, load_labels_csv(spark, labels or f"{folder}/labels.csv"))
+
     @cached_property
     def raw(self) -> DataFrame:
         return raw_log_events(self.spark, self.sf_dir)

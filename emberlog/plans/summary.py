@@ -7,18 +7,20 @@ writer decides nothing: flags, severities and episodes come from the queries.
 from __future__ import annotations
 
 import argparse
+import os
 import re
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import Row
 
 from ..operators import evidence as ev
 from ..operators.evidence import block_evidence
+from ..sources.session import build_spark
 from .store import Store
 
-#: Headings that a summary must have, in any letter case.
-SECTIONS = ["Likely cause", "Supporting evidence", "Recommended next steps"]
+#: Headings that a summary must have, in any letter case. Fixed values.
+SECTIONS = ["Incident summary", "Root-cause hypothesis", "Recommended next action"]
 
 
 def format_metric(value, fallback: str = "unknown") -> str:
@@ -64,7 +66,7 @@ def episode_prompt(meta: Row, breakdown: list[Row], sample: list[Row], purity: R
 def template_writer(prompt: str) -> str:
     facts = prompt.split("\n")
     return "\n\n".join([
-        f"{SECTIONS[0]}\n{facts[0]}", f"{SECTIONS[1]}\n" + "\n".join(f"- {x}" for x in facts[1:5]), f"{SECTIONS[2]}\n- Compare with unflagged blocks of the same minutes."
+        f"{SECTIONS[0]}\n{facts[0]}", f"{SECTIONS[1]}\nNot decided by this template; the evidence is:\n" + "\n".join(f"- {x}" for x in facts[1:5]), f"{SECTIONS[2]}\n- Compare with unflagged blocks of the same minutes."
     ])
 
 
@@ -81,6 +83,15 @@ def file_name(kind: str, key) -> str:
     return f"incident_{safe}.txt" if kind == "block" else f"episode_{safe}_rca.txt"
 
 
+def save(text: str, folder: str, kind: str, key) -> str:
+    """Writes a summary into a folder of the driver, made if need be; returns the path."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, file_name(kind, key))
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return path
+
+
 def summarize_block(store: Store, block_id: str, writer: Callable[[str], str] = template_writer) -> str:
     return validated(writer(block_prompt(block_id, block_evidence(store.evidence, block_id).collect())))  # one block's events
 
@@ -103,13 +114,12 @@ def main(argv: list[str] | None = None) -> int:
     cli.add_argument("--tables", required=True)
     cli.add_argument("--save")
     a = cli.parse_args(argv)
-    store = Store(SparkSession.builder.getOrCreate(), a.tables)
+    store = Store.of_folder(build_spark("incident-summary"), a.tables)
     kind, key = ("block", a.block_id) if a.block_id else ("episode", a.episode_id)
     text = summarize_block(store, key) if kind == "block" else summarize_episode(store, key)
     print(text)
     if a.save:
-        with open(f"{a.save}/{file_name(kind, key)}", "w", encoding="utf-8") as f:
-            f.write(text)
+        save(text, a.save, kind, key)
     return 0
 
 

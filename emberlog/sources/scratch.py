@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; set here only where the session leaves it unset."""
+    """The cluster's spark.checkpoint.dir; a session in local mode that leaves it unset gets one of the machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file:///tmp/checkpoints/emberlog-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

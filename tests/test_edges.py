@@ -135,3 +135,9 @@ def test_order_helpers(spark):
         prev = v
     sizes = ordered.ntile(rows, 4, "q").groupBy("q").count().orderBy("q").collect()
     assert [r["count"] for r in sizes] == [26, 25, 25, 25]
+
+
+def test_rounding_ties_go_away_from_zero(spark):
+    df = spark.createDataFrame([(0.0005,), (-0.0005,), (2.675,), (-2.675,), (1.0049999,)], "x double")
+    assert [r[0] for r in df.select(scalars.rounded(F.col("x"), 3)).collect()] == [0.001, -0.001, 2.675, -2.675, 1.005]
+    assert [r[0] for r in df.select(scalars.rounded(F.col("x"), 2)).collect()][2:] == [2.68, -2.68, 1.0]

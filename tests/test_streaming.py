@@ -1,10 +1,12 @@
 import json
 from datetime import datetime, timedelta
 
-from emberlog.plans import summary
+from emberlog.plans import evaluate, summary
+from emberlog.plans.queries import QUERIES
 from emberlog.plans.store import Store
 from emberlog.sources.log_lines import INCIDENT_SCHEMA, RAW_SCHEMA, WINDOW_SCHEMA
 from emberlog.streaming import job
+from emberlog.streaming import main as stream
 
 T0 = datetime(2008, 11, 9, 20, 35, 0)
 
@@ -59,3 +61,27 @@ def test_summaries(spark):
             pass
     assert summary.file_name("block", "a/b:c") == "incident_a_b_c.txt"
     assert summary.format_metric(None) == "unknown"
+    assert summary.SECTIONS == ["Incident summary", "Root-cause hypothesis", "Recommended next action"]
+
+
+def test_stream_to_tables_to_queries(spark, tmp_path, capsys):
+    """Envelopes through the command, stored tables and a label CSV through the analytics, a summary on disk."""
+    rows = [(f"blk_{b}", b * 10 + s, "ERROR" if b == 3 else "INFO") for b in range(1, 9) for s in range(0, 6, 2)]
+    put(tmp_path / "in", "1.txt", *rows)
+    env = {"LOG_INBOX": str(tmp_path / "in"), "LOG_TABLES": str(tmp_path / "t"), "LOG_CHECKPOINTS": str(tmp_path / "ck"), "LOG_ONCE": "1"}
+    assert stream.main(env) == 0
+    (tmp_path / "t" / "labels.csv").write_text('block_id,label\n"blk_3", Anomaly\nblk_4,Normal\nblk_99,Anomaly\n')
+    s = Store.of_folder(spark, str(tmp_path / "t"))
+    assert s.raw.count() == len(rows) and s.labels.count() == 3
+    found = evaluate.evaluate(s, "incidents")
+    assert (found.detected_blocks, found.true_positives, found.actual_anomalies, found.precision) == (1, 1, 1, 1.0)
+    assert evaluate.main(["--tables", str(tmp_path / "t"), "--table", "INCIDENTS"]) == 0
+    assert "recall: 1.0000" in capsys.readouterr().out
+    assert QUERIES["raw_count"].__name__ and s.incidents.count() == 8
+    block = s.incidents.first().block_id
+    path = summary.save(summary.summarize_block(s, block), str(tmp_path / "new" / "folder"), "block", block)
+    assert block in open(path).read()
+
+
+def test_settings():
+    assert stream.configured({})["servers"] == "localhost:9092" and stream.configured({"KAFKA_TOPIC": "x"})["topic"] == "x"
