@@ -83,9 +83,9 @@ def release(spark: SparkSession) -> None:
 BROADCAST_KEYS = 300_000
 
 
-def filtered_by_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """df joined left_semi or left_anti with written-out keys: broadcast up to BROADCAST_KEYS, else by shuffle."""
-    if keys.count() <= BROADCAST_KEYS:
+def filtered_by_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """df joined left_semi or left_anti with written-out keys: broadcast up to `most`, else by shuffle."""
+    if keys.count() <= most:
         keys = F.broadcast(keys)
     return df.join(keys, on, how)
 

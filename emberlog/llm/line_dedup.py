@@ -29,6 +29,8 @@ BANDS, ROWS = 16, 5
 KEEP = 96
 #: One line in so many tells which bands are so frequent that their rows are dealt over tasks.
 SAMPLE = 64
+#: Most candidate lines whose hashes (8 bytes each) are broadcast to pick out their texts; more are joined by shuffle.
+BROADCAST_LINES = 2_000_000
 
 
 def _masks(count: int) -> list[int]:
@@ -98,7 +100,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(docs.sparkSession)
     wanted = materialize(members.select(F.col("node").alias("h")).distinct(), "wanted")
     # where two lines have one h, either may answer for a pair
-    texts = materialize(filtered_by_keys(lines.select("h", "norm"), wanted, ["h"], "left_semi").distinct(), "lines")
+    texts = materialize(filtered_by_keys(lines.select("h", "norm"), wanted, ["h"], "left_semi", BROADCAST_LINES).distinct(), "lines")
     release(docs.sparkSession)
     parts = classes(members, _linked(texts, similarity), similarity)
     discard(members, wanted, texts)
