@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +80,31 @@ def release(spark: SparkSession) -> None:
     It does so when the driver's heap is collected, which a driver that only plans rarely is; between the phases
     of an operator, whose results are written out, the files of a phase would otherwise stay beside the next one's.
     """
+    for _ in range(2):  # the first finds what the second's queue then deletes
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of fewer rows for what is written inside: a batch of long texts is held by the JVM and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), rows) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """The batches; after the last one, memory that the Python worker has freed goes back to the machine."""
+    yield from batches
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 #: Most keys of a broadcast filter (a few tens of MB at most); more are joined by shuffle.

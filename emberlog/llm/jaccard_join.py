@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import SKETCH, classes, hot_keys, shared_keys
-from .common import discard, filtered_by_keys, materialize, release, row_key, worker_cache
+from .common import discard, filtered_by_keys, materialize, release, row_key, small_batches, tidy, worker_cache
 
 SHINGLE = 4
 #: Least similarity of linked sets, as parts of a hundred.
@@ -237,13 +237,13 @@ class _Texts:
         percent, shingle = self.percent, self.shingle
 
         def plausible(batches):
-            yield from _plausible(batches, percent)
+            yield from tidy(_plausible(batches, percent))
 
         def to_sets(batches):
-            yield from _sets(batches, shingle)
+            yield from tidy(_sets(batches, shingle))
 
         def verify(batches):
-            yield from _verify(batches, percent)
+            yield from tidy(_verify(batches, percent))
 
         side = lambda x, m: self.nodes.select(F.col("node").alias(x), F.col("mark").alias(m))
         both = pairs.join(side("a", "ma"), "a").join(side("b", "mb"), "b").select("a", "b", "ca", "cb", "na", "nb", "ma", "mb")
@@ -268,13 +268,18 @@ def _without_frequent(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.filter(F.col("many") < FREQUENT).select("key", "node", "n").unionByName(hot.select("key", "node", "n"))
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+def _rooted(docs: DataFrame, *parameters) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        return _connected(docs, *parameters)
+
+
+def _connected(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """One row per row of docs: doc_id, k_id, k_hash, n, root; rows with an equal root are connected, null: no words."""
     bands = Bands(percent)
     spark = docs.sparkSession
 
     def describe(batches):
-        yield from _describe(batches, shingle, bands)
+        yield from tidy(_describe(batches, shingle, bands))
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
     described = materialize(texts.mapInArrow(describe, DESCRIBED), "described")

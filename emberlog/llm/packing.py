@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .tokens import Encoder
 
 SEQUENCE = 2048
@@ -155,6 +156,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     and null ids are packed as rows of their own. An empty table gives no piece. Other columns are not read.
     """
     def task(batches):
-        yield from _pack(batches, tokenizer, sequence, cell)
+        yield from tidy(_pack(batches, tokenizer, sequence, cell))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, SCHEMA)

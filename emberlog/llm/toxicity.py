@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import tidy, worker_cache
 from .labelled import held_out, training_rows
 
 #: Most labelled rows that a model is fitted on.
@@ -270,7 +270,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
 
     def task(batches):
-        yield from _score_batches(batches, model, {})
+        yield from tidy(_score_batches(batches, model, {}))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(task, "doc_id long, held_out boolean, score double")
@@ -283,7 +283,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     Null and empty texts are judged as texts without words, repeated rows each for itself; an empty table stays empty.
     """
 
-    def task(batches):
+    def kept(batches):
         known: dict[str, float] = {}
         for b in batches:
             for s in range(0, b.num_rows, 1024):
@@ -293,5 +293,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
                 keep = [x < threshold for y in _score_batches(iter([probe]), model, known) for x in y.column(2).to_pylist()]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
+    def task(batches):
+        yield from tidy(kept(batches))
+
     names = docs.columns
     return docs.mapInArrow(task, docs.schema)
