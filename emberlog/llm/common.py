@@ -101,6 +101,10 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
 def tidy(batches: Iterator) -> Iterator:
     """The batches; after the last one, memory that the Python worker has freed goes back to the machine."""
     yield from batches
+    trim()
+
+
+def trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # another C library

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import materialize, small_batches, tidy
 from .tokens import Encoder
 
 SEQUENCE = 2048
@@ -158,4 +158,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def task(batches):
         yield from tidy(_pack(batches, tokenizer, sequence, cell))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):  # the pieces are numbers, a small part of the texts: they are written here
+        return materialize(rows.mapInArrow(task, SCHEMA), "pieces")

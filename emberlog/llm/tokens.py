@@ -11,12 +11,12 @@ from __future__ import annotations
 import os
 import re
 
-from .common import worker_cache
+from .common import trim, worker_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept by one Python worker at most.
-CACHE = 80_000
+CACHE = 50_000
 #: The tokenizer's pattern for texts whose letters are ASCII or Latin-1 and Latin Extended,
 #: whose digits are ASCII and whose white space is space, tab and line ends.
 SAFE = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ‐-‧‰-⁞₠-₿]*")
@@ -42,6 +42,7 @@ class Encoder:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.bpe = self._ranks(path)
         _WORKER[path] = self
+        trim()  # the parsed file is several times the vocabulary
 
     @staticmethod
     def _ranks(path: str):
