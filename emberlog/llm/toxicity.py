@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, worker_cache
+from .common import filtered_by_keys, materialize, row_key, small_batches, tidy, worker_cache
 from .labelled import held_out, training_rows
 
 #: Most labelled rows that a model is fitted on.
@@ -44,7 +44,7 @@ WIDTH = 28
 OVERLAP = 2 * (MAX_GAP + 1)
 BITS = 18
 #: Word scores that a worker keeps at most.
-CACHE = 80_000
+CACHE = 50_000
 TOP = 5
 WORD = re.compile(r"[^\W_]+")
 SPREAD = re.compile(r"(?<![^\W_])[^\W\d_](?:[\W_]{1,2}[^\W\d_](?![^\W_])){2,}")
@@ -236,7 +236,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
             found = [sentences_of(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.list_(pa.string())))], ["d_id", "label", "sentences"])
 
-    found = training_rows(docs, labels, "toxic", rows).mapInArrow(task, "d_id long, label int, sentences array<array<string>>").toArrow()
+    with small_batches(docs.sparkSession):
+        found = training_rows(docs, labels, "toxic", rows).mapInArrow(task, "d_id long, label int, sentences array<array<string>>").toArrow()
     known: dict[str, str] = {}  # each word is held once
     one = known.setdefault
     made = [(i, y, [[one(w, w) for w in s] for s in d.as_py()]) for i, y, d in zip(*(found.column(c).to_pylist() if c < 2 else found.column(c) for c in range(3)), strict=True)]
@@ -245,7 +246,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return ToxicityModel().fit([d for _, _, d in made], np.array([y for _, y, _ in made], float))
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], model: ToxicityModel, known: dict[str, float]) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterator[pa.RecordBatch], model: ToxicityModel, known: dict[str, float], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The first two columns, under `names`, with the score of the third, a text."""
     worker_cache("toxicity", known)
     for b in batches:
         for s in range(0, b.num_rows, 256):
@@ -258,7 +260,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: ToxicityModel, know
                 new = list(words)
             known.update(zip(new, model.machine.score(new).tolist(), strict=True))
             figures = np.array([figures_of(d, known.__getitem__) for d in docs], float)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(model.probability(figures))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(model.probability(figures))], [*names, "score"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -270,31 +272,27 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
 
     def task(batches):
-        yield from tidy(_score_batches(batches, model, {}))
+        yield from tidy(_score_batches(batches, model, {}, ["doc_id", "held_out"]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(task, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without its toxic rows, in its own columns; rows are judged and passed on in one pass.
+def drop_toxic(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without its toxic rows, in its own columns; Python sees keys and texts, and hands back rejected keys alone.
 
-    Null and empty texts are judged as texts without words, repeated rows each for itself; an empty table stays empty.
+    Null and empty texts are judged as texts without words; rows repeated in id and text go or stay together; an empty
+    table stays empty.
     """
 
-    def kept(batches):
-        known: dict[str, float] = {}
-        for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                part = b.slice(s, 1024)
-                texts = part.column(names.index(text_col))
-                probe = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.bool_()), texts], ["doc_id", "held_out", "text"])
-                keep = [x < threshold for y in _score_batches(iter([probe]), model, known) for x in y.column(2).to_pylist()]
-                yield part.filter(pa.array(keep, pa.bool_()))
-
     def task(batches):
-        yield from tidy(kept(batches))
-
-    names = docs.columns
-    return docs.mapInArrow(task, docs.schema)
+        yield from tidy(_score_batches(batches, model, {}, ["k_id", "k_hash"]))
+
+    key = ["k_id", "k_hash"]
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        scored = rows.mapInArrow(task, "k_id string, k_hash long, score double")
+        bad = materialize(scored.filter(F.col("score") >= threshold).select(*key).distinct(), "toxic")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
+    return filtered_by_keys(keyed, bad, key, "left_anti").select("row.*")
