@@ -1,10 +1,11 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A line's features are its shingles of SHINGLE characters (of the trimmed, A-Z lower-cased line; a shorter line
-is its own shingle). Of the distinct shingles' hashes the KEEP smallest are hashed again and taken, for each of
-BANDS masks, in the order of their values xor the mask: a band is the ROWS first of that order. The masks differ
-in their leading bits, so that bands look at different parts of the hash range and hardly overlap. All of this
-happens within a line's row. Equal lines meet before the bands are dealt out, and no text is shuffled for them.
+is its own shingle). The KEEP smallest hashes of the distinct shingles are put into independent orders, each by
+hashing them again. An order is read as a circle, on which RUNS places are evenly spread over the range of
+the hash: a band is the ROWS values that follow a place, so that bands of one order hardly overlap and a line's
+values are sorted once for RUNS bands. All of this happens within a line's row. Equal lines meet before the bands are
+dealt out, and no text is shuffled for them.
 
 Lines that share a band are candidates (cluster.py). They are verified by exact Jaccard of their shingle sets,
 and a distributed union-find joins the verified pairs. One line of each component stays: the first by document
@@ -25,6 +26,8 @@ SIMILARITY = 0.8
 #: A pair of the least similarity shares a band with probability 1 - (1 - 0.8**5)**16 = 0.998. Unrelated lines do so
 #: with one that falls with ROWS; on much larger corpora raise it, and BANDS with it.
 BANDS, ROWS = 16, 5
+#: Bands of one order.
+RUNS = 4
 #: Hashes of a line that its bands are taken from.
 KEEP = 96
 #: One line in so many tells which bands are so frequent that their rows are dealt over tasks.
@@ -33,15 +36,6 @@ SAMPLE = 64
 BROADCAST_LINES = 2_000_000
 
 
-def _masks(count: int) -> list[int]:
-    """Fixed 64-bit masks (signed): evenly spread in their leading bits, pseudo-random by a linear congruential rule below."""
-    out, x = [], 88172645463325252
-    for i in range(count):
-        x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append(((i << 64) // count ^ (x >> 6)) % 2**64 - 2**63)
-    return out
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k_id, k_hash, doc_id, line_no, norm, h, g): the non-blank lines; (h, g) is the line's 128-bit identity."""
     rows = docs.select(
@@ -62,14 +56,28 @@ def _hashes(norm: Column) -> Column:
     return F.transform(_shingles(norm), lambda s: F.xxhash64(s))
 
 
+def _order(low: Column, k: int) -> Column:
+    """The values of the k-th order, ascending."""
+    return F.sort_array(F.transform(low, lambda v: F.xxhash64(v, F.lit(k))))
+
+
 def _signatures(lines: DataFrame) -> DataFrame:
     """One row per different line: h, its number of distinct shingles n, and its bands b0, b1, ..."""
     sets = lines.select("h", F.array_distinct(_hashes(F.col("norm"))).alias("x"))
     low = sets.select("h", F.size("x").cast("long").alias("n"), F.slice(F.sort_array("x"), 1, KEEP).alias("low"))
-    low = low.select("h", "n", F.transform("low", lambda v: F.xxhash64(v)).alias("low"))
-    band = lambda mask: F.xxhash64(F.slice(F.sort_array(F.transform("low", lambda v: v.bitwiseXOR(F.lit(mask)))), 1, ROWS), F.lit(mask))
+    count = -(-BANDS // RUNS)
+    orders = low.select("h", "n", *[_order(F.col("low"), k).alias(f"o{k}") for k in range(count)])
+    places = [i * (2**64 // RUNS) - 2**63 for i in range(1, RUNS)]
+    mixed = [F.sort_array(F.concat(f"o{k}", F.array(*map(F.lit, places)))).alias(f"m{k}") for k in range(count)]
+    round_ = [F.concat(f"o{k}", F.slice(f"o{k}", 1, ROWS)).alias(f"o{k}") for k in range(count)]
+    circles = orders.select("h", "n", *round_, *mixed)
+    bands = []
+    for k in range(count):
+        # before the i-th place stand i - 1 other places and the values below it
+        below = [F.lit(0), *[F.array_position(f"m{k}", F.lit(p)) - i for i, p in enumerate(places, 1)]]
+        bands += [F.xxhash64(F.slice(f"o{k}", (x + 1).cast("int"), ROWS), F.lit(k)) for x in below]
     names = [f"b{i}" for i in range(BANDS)]
-    signed = low.select("h", "n", *[band(m).alias(b) for m, b in zip(_masks(BANDS), names, strict=True)])
+    signed = circles.select("h", "n", *[b.alias(name) for b, name in zip(bands[:BANDS], names, strict=True)])
     return signed.groupBy("h").agg(F.max("n").alias("n"), *[F.min(b).alias(b) for b in names])
 
 
