@@ -4,20 +4,24 @@ A passage is a line, a paragraph (lines between blank ones) of several lines, or
 Templates are the paragraphs of licence texts, standard headers and one-line notices, version by version, so that
 the version's words decide between versions. Words are runs of 0-9, a-z and non-ASCII characters of the A-Z
 lower-cased text. With n distinct bigrams, only templates whose size lies within t / (2 - t) * n and
-(2 - t) / t * n can reach a coefficient of t; so a passage of few words is never cut into bigrams, its bigrams meet
-only the templates that its number of words admits, and a template must share at least t / (2 - t) of its own. The
-bigrams of all passages are generated and joined with the templates' in one stage; only passages that pass these
-bounds are read again for the coefficient. The template table is a fixed parameter, so its broadcast is bounded.
+(2 - t) / t * n can reach a coefficient of t, and it must share at least t / (2 - t) of its own. So a match has one
+of a template's rarest bigrams, taken so many that the others are too few for a match. Documents without any such
+bigram are not cut into passages, passages without one meet no template, and all of this happens within a row: only
+matches are shuffled. The template table is a fixed parameter, so its broadcast is bounded.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, filtered_by_keys, materialize, row_key, word_array
+from .common import ascii_lower, materialize, row_key, word_array
 
 DICE = 0.75
+#: One row in so many tells which bigrams of the templates are rare.
+SAMPLE = 64
 #: Licence identifiers with notices, headers and paragraphs of their texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -70,9 +74,8 @@ TEMPLATES = [
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
 
-def _zipped(words: str) -> Column:
+def _zipped(w: Column) -> Column:
     """Neighbouring words as structs; of a single word, that word with null."""
-    w = F.col(words)
     rest = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
     n = F.greatest(F.size(w) - 1, F.least(F.size(w), F.lit(1)))
     return F.slice(F.arrays_zip(w.alias("a"), rest.alias("b")), 1, n)
@@ -80,15 +83,19 @@ def _zipped(words: str) -> Column:
 
 def bigrams(words: str) -> Column:
     """Distinct bigrams of an array of words, as texts."""
-    return F.array_distinct(F.transform(_zipped(words), lambda z: F.concat_ws("\t", z["a"], z["b"])))
+    return F.array_distinct(F.transform(_zipped(F.col(words)), lambda z: F.concat_ws("\t", z["a"], z["b"])))
+
+
+def _hash(z: Column) -> Column:
+    return F.xxhash64(z["a"], z["b"])
 
 
 def template_bigrams(spark, templates: list[tuple[str, str]]) -> DataFrame:
-    """(template, licence, size, pairs): one row per template."""
+    """(template, licence, n_words, size, pairs, hashes): one row per template."""
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "template int, licence string, text string")
     rows = rows.select("template", "licence", word_array(ascii_lower(F.col("text")), SEPARATORS).alias("words"))
-    rows = rows.select("template", "licence", bigrams("words").alias("pairs"))
-    return rows.select("template", "licence", F.size("pairs").alias("size"), "pairs")
+    rows = rows.select("template", "licence", F.size("words").alias("n_words"), bigrams("words").alias("pairs"), F.transform(_zipped(F.col("words")), _hash).alias("hashes"))
+    return rows.select("template", "licence", "n_words", F.size("pairs").alias("size"), "pairs", "hashes")
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,27 +117,52 @@ def passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("doc_id", "k_id", "k_hash", "kind", "number", word_array(ascii_lower(F.col("passage")), SEPARATORS).alias("words"))
 
 
+def rare_bigrams(docs: DataFrame, table: DataFrame, text_col: str, id_col: str, dice: float) -> list[int]:
+    """Hashes of bigrams of which a passage has at least one of each template that it matches.
+
+    A match has least * size of a template's bigrams, so it has one of any size - least * size + 1 of them. The
+    rarest are taken, as one row in SAMPLE of docs tells; which they are changes the work and not the result.
+    """
+    least = dice / (2 - dice)
+    rows = [sorted(set(r.hashes)) for r in table.select("hashes").collect()]
+    some = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col))), F.lit(SAMPLE)) == 0)
+    words = some.select(word_array(ascii_lower(F.col(text_col)), SEPARATORS).alias("words"))
+    seen = words.select(F.explode(F.transform(_zipped(F.col("words")), _hash)).alias("h")).filter(F.col("h").isin(sorted({h for r in rows for h in r})))
+    count = {r.h: r["count"] for r in seen.groupBy("h").count().collect()}
+    taken = set()
+    for r in rows:
+        need = max(1, math.ceil(least * len(r) - 1e-9))
+        taken.update(sorted(r, key=lambda h: (count.get(h, 0), h))[: len(r) - need + 1])
+    return sorted(taken)
+
+
+def _has(words: Column, keys: list[int], single: bool) -> Column:
+    """Whether one of the bigrams of an array of words, or with single one of its words, has its hash among keys."""
+    def found(w: Column) -> Column:
+        pair = F.exists(_zipped(w), lambda z: _hash(z).isin(keys))
+        return pair | F.exists(w, lambda x: F.xxhash64(x).isin(keys)) if single else pair
+
+    return F.exists(F.array(words), found)  # an array of one, so that the words are made once
+
+
 def licence_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice: float = DICE, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(k_id, k_hash, kind, number, licence, dice): the best template of each matching passage.
 
     Of equal coefficients the template that comes first wins.
     """
-    table = materialize(template_bigrams(docs.sparkSession, templates), "templates")
+    table = materialize(template_bigrams(docs.sparkSession, templates).filter("size > 0"), "templates")
     least = dice / (2 - dice)
-    smallest = table.agg(F.min("size")).first()[0] or 0
+    single = not table.filter("n_words = 1").isEmpty()
     place = ["k_id", "k_hash", "kind", "number"]
-    pairs = table.select("template", "size", F.explode("pairs").alias("pair"))
-    keys = pairs.select("template", "size", F.xxhash64("pair").alias("h"))
-    # a passage of n words has n - 1 bigrams at most
-    rows = passages(docs, id_col, text_col).filter((F.size("words") >= least * smallest) & (F.size("words") > 0))
-    rows = rows.select(*place, F.size("words").alias("m"), F.explode(_zipped("words")).alias("z")).select(*place, "m", F.xxhash64(F.concat_ws("\t", "z.a", "z.b")).alias("h"))
-    met = rows.join(F.broadcast(keys), "h").filter(F.col("m") >= least * F.col("size") - 1e-9).groupBy(*place, "template", "size").agg(F.count_distinct("h").alias("shared"))
-    near = materialize(met.filter(F.col("shared") >= least * F.col("size") - 1e-9).select(*place, "template"), "near")
-    again = filtered_by_keys(docs.select(F.col(id_col), F.col(text_col), *row_key(id_col, text_col)), near.select("k_id", "k_hash").distinct(), ["k_id", "k_hash"], "left_semi")
-    found = passages(again, id_col, text_col).join(near, place).join(F.broadcast(table), "template").withColumn("own", bigrams("words"))
-    found = found.withColumn("n", F.size("own")).filter((F.col("size") >= F.col("n") * least) & (F.col("n") >= F.col("size") * least))
+    keys = rare_bigrams(docs, table, text_col, id_col, dice)
+    # a passage's words stand side by side in its document too
+    some = docs.filter(_has(word_array(ascii_lower(F.col(text_col)), SEPARATORS), keys, single))
+    rows = passages(some, id_col, text_col).filter(_has(F.col("words"), keys, single)).select(*place, bigrams("words").alias("own"))
+    rows = rows.withColumn("n", F.size("own"))
+    fits = (F.col("size") >= F.col("n") * least - 1e-9) & (F.col("n") >= F.col("size") * least - 1e-9)
+    found = rows.join(F.broadcast(table), fits)
     twice = F.size(F.array_intersect("own", "pairs")) * 2
-    scored = found.withColumn("dice", twice / (F.col("n") + F.col("size"))).filter(F.col("dice") >= dice)
+    scored = found.withColumn("dice", twice / (F.col("n") + F.col("size"))).filter(F.col("dice") >= dice).select(*place, "template", "licence", "dice")
     first = F.row_number().over(Window.partitionBy(*place).orderBy(F.desc("dice"), "template"))
     return scored.withColumn("rank", first).filter("rank = 1").select(*place, "licence", "dice")
 

@@ -125,6 +125,54 @@ def test_licence_texts(spark):
     assert got == {i: name for i, name, _ in rows}
 
 
+def shuffled_rows(spark):
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_licence_scan_shuffles_matches_alone(spark):
+    """Prose with common bigrams of templates in every row, but no licence."""
+    prose = "to the following conditions apply, in the form of a work under the terms of the agreement\nwith or without any fee to the public, and of the software in this file"
+    df = spark.createDataFrame([(i, f"{prose} {i}") for i in range(400)], "doc_id long, text string").repartition(2).cache()
+    df.count()
+    before = shuffled_rows(spark)
+    assert licenses.licence_matches(df).count() == 0
+    assert shuffled_rows(spark) - before < 400
+
+
+def test_licences_near_the_bound_against_brute_force(spark):
+    """Templates with words left out or put in, down to below the bound, and templates of one and two words."""
+    import random
+
+    rng, low = random.Random(4), lambda t: words(t)
+    templates = [*licenses.TEMPLATES[:12], ("One", "WTFPL"), ("Two", "Beerware license")]
+    texts = ["see WTFPL. Then\nWTFPL\nBeerware license", "wtfpl"]
+    for _, t in templates[:12]:
+        for cut in (1, 2, 3, 4, 6, 8):
+            w = t.split()
+            for _ in range(cut):
+                w[rng.randrange(len(w))] = rng.choice(["", "of", "zebra x"])
+            texts.append("prose before\n" + " ".join(w) + "\nprose after")
+    pairs = lambda w: {tuple(w)} if len(w) == 1 else set(zip(w, w[1:], strict=False))
+
+    def expected(text):
+        cut = [re.split(r"[.!?][ \t]+", x) for x in text.split("\n")]
+        parts = text.split("\n") + [p for p in re.split(r"\n[ \t]*\n", text) if "\n" in p] + [s for x in cut if len(x) > 1 for s in x]
+        found = []
+        for own in (pairs(low(p)) for p in parts if low(p)):
+            scores = [(2 * len(own & t) / (len(own) + len(t)), -i) for i, t in enumerate(pairs(low(x)) for _, x in templates)]
+            if max(scores)[0] >= licenses.DICE:
+                found.append(templates[-max(scores)[1]][0])
+        return sorted(found)
+
+    got = {}
+    for r in licenses.licence_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).collect():
+        got.setdefault(int(r.k_id), []).append(r.licence)
+    assert [sorted(got.get(i, [])) for i in range(len(texts))] == [expected(t) for t in texts]
+    assert 20 < len(got) < len(texts)
+
+
 def test_secrets(spark, docs, rows, empty):
     key = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
     texts = [
