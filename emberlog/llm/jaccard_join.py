@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import SKETCH, classes, hot_keys, shared_keys
+from .cluster import SKETCH, classes, folded, hot_keys, shared_keys
 from .common import discard, filtered_by_keys, materialize, release, row_key, small_batches, tidy, worker_cache
 
 SHINGLE = 4
@@ -43,6 +43,8 @@ FREQUENT = 16
 PASSES = 3
 #: One document in so many tells which signatures are so frequent that their rows are dealt over tasks.
 SAMPLE = 16
+#: Least buckets for each element of the sketches that rule out pairs within the join.
+WIDE = 0.75
 #: Word hashes that a worker keeps, and set identities that a task remembers.
 CACHE, SEEN = 100_000, 200_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -163,7 +165,13 @@ def sketches_differ(p: bytes, q: bytes) -> int:
     return (a ^ int.from_bytes(q, "little")).bit_count()
 
 
-DESCRIBED = "doc_id long, k_id string, k_hash long, n long, node long, spare int, sigs array<long>, mark binary, " + ", ".join(f"{w} long" for w in SKETCH)
+def wide_sketch(mark: Column, n: Column) -> Column:
+    """From a set's mark, a sketch of WIDE to 2 * WIDE buckets an element; null if SKETCH has as many."""
+    fit = F.when(F.size(mark) * 32 >= WIDE * n, folded(mark)).otherwise(mark)
+    return F.when(WIDE * n > 64 * len(SKETCH), fit)
+
+
+DESCRIBED = "doc_id long, k_id string, k_hash long, n long, node long, spare int, sigs array<long>, mark array<long>, " + ", ".join(f"{w} long" for w in SKETCH)
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
@@ -184,7 +192,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterat
                     made, left = signatures(x, bands)
                     spare.append(left)
                     sigs.append(made.view(np.int64))
-                    marks.append(sketch(x))
+                    marks.append(np.frombuffer(sketch(x), np.int64))
                     words.append(np.frombuffer(sketch(x, 64 * len(SKETCH)), np.int64))
                 else:
                     spare.append(0)
@@ -193,7 +201,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterat
                     words.append(np.zeros(len(SKETCH), np.int64))
             ends = np.cumsum([0, *map(len, sigs)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs), pa.int64()))
-            columns = [pa.array(n, pa.int64()), pa.array(ident, pa.int64()), pa.array(spare, pa.int32()), flat, pa.array(marks, pa.binary()), *map(pa.array, np.array(words).T)]
+            columns = [pa.array(n, pa.int64()), pa.array(ident, pa.int64()), pa.array(spare, pa.int32()), flat, pa.array(marks, pa.list_(pa.int64())), *map(pa.array, np.array(words).T)]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *columns], [c.split()[0] for c in DESCRIBED.split(", ")])
 
 
@@ -222,7 +230,7 @@ def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         keep = []
         for n, m, p, q in zip(*(b.column(i).to_pylist() for i in (4, 5, 6, 7)), strict=True):
             most = (n + m) * (100 - percent) // (100 + percent)
-            keep.append(100 * min(n, m) >= percent * max(n, m) and sketches_differ(p, q) <= most)
+            keep.append(100 * min(n, m) >= percent * max(n, m) and sketches_differ(*(np.array(v, np.int64).tobytes() for v in (p, q))) <= most)
         yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], ["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -301,7 +309,7 @@ def _connected(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
     discard(*parts)
     release(spark)
     repeated = not flat.groupBy("k_id", "k_hash").count().filter("count > 1").isEmpty()
-    found = classes(members, _Texts(texts, nodes, repeated, shingle, percent).linked, percent / 100, nodes.select("node", *SKETCH))
+    found = classes(members, _Texts(texts, nodes, repeated, shingle, percent).linked, percent / 100, nodes.select("node", *SKETCH, wide_sketch(F.col("mark"), F.col("n")).alias("wide")))
     out = flat.join(found, "node", "left").select("doc_id", "k_id", "k_hash", "n", F.coalesce("component", "node").alias("root"))
     out = materialize(out, "rooted")
     discard(nodes, members, flat)

@@ -139,6 +139,33 @@ def test_linked_sets_share_a_signature():
                 assert sketches_differ(sketch(x), sketch(y)) <= len(x) + len(y) - 2 * both
 
 
+def test_sketches_rule_out_overlapping_large_sets(spark):
+    """Within the join, sets of hundreds and thousands of elements that overlap and don't link are told from those that link."""
+    from pyspark.sql import functions as F
+
+    from emberlog.llm import cluster
+
+    rng = np.random.default_rng(6)
+    rows, linked, apart = [], set(), set()
+    for i, n in enumerate([300, 342, 360, 500, 680, 690, 1000, 1360, 1370, 2000, 2730, 2740, 5000] * 2):
+        for share in (0.3, 0.5, 0.7, 0.86, 0.9, 0.95):
+            x = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            y = np.unique(np.concatenate([x[: int(share * n)], rng.integers(0, 1 << 63, n - int(share * n) + (n // 20) * (i % 2), np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                linked.add(len(rows))
+            elif 100 * both < 55 * (len(x) + len(y) - both) and n > 350:
+                apart.add(len(rows))
+            mark = lambda v, m=None: np.frombuffer(sketch(v, m), np.int64).tolist()
+            rows.append((len(rows), *[(len(v), *mark(v, 64 * len(cluster.SKETCH)), mark(v)) for v in (x, y)]))
+    side = "struct<n:bigint," + ",".join(f"{w}:bigint" for w in cluster.SKETCH) + ",mark:array<bigint>>"
+    df = spark.createDataFrame(rows, f"id long, l {side}, r {side}")
+    for x in "lr":
+        df = df.withColumn(x, F.col(x).withField("wide", jaccard_join.wide_sketch(F.col(f"{x}.mark"), F.col(f"{x}.n"))))
+    fit = {r.id for r in df.filter(cluster._sketches_fit("l", "r", 0.8)).collect()}
+    assert linked <= fit and not apart & fit and len(linked) > 20 and len(apart) > 40
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (None, 1)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 230)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
