@@ -46,14 +46,13 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return norm.withColumn("h", F.xxhash64("norm")).withColumn("g", F.xxhash64(F.lit(1), "norm", F.octet_length("norm")))
 
 
-def _shingles(norm: Column) -> Column:
-    """A line's shingles as texts, repeated ones too."""
-    found = F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.char_length(norm) >= SHINGLE, found).otherwise(F.array(norm))
-
-
 def _hashes(norm: Column) -> Column:
-    return F.transform(_shingles(norm), lambda s: F.xxhash64(s))
+    """Hashes of a line's shingles, repeated ones too. In UTF-32 a shingle is cut out by its place, without a walk through the line."""
+    wide = F.encode(F.when(F.char_length(norm) >= SHINGLE, norm), "UTF-32")
+    shingle = lambda b, i: F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE)))
+    each = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - 4 * SHINGLE + 1, F.lit(4)), lambda i: shingle(b, i))
+    found = F.element_at(F.transform(F.array(wide), each), 1)  # an array of one, so that the line is encoded once
+    return F.coalesce(found, F.array(F.xxhash64(F.encode(norm, "UTF-32"))))
 
 
 def _order(low: Column, k: int) -> Column:

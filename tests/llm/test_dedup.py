@@ -254,6 +254,21 @@ def test_line_dedup_edges(spark):
     assert kept.columns == docs.columns and {r.text for r in kept.collect() if r.doc_id is None} == {""}
 
 
+def test_shingles_of_any_characters(spark):
+    """A line has one shingle for each place, also beside characters of two UTF-16 units; a short line is its own."""
+    from pyspark.sql import functions as F
+
+    from emberlog.llm import line_dedup
+
+    texts = ["a\U0001f600bcd\U0001f600e", "\u65e5\u672c\u8a9e\u30c6\u30ad\u65e5\u672c\u8a9e\u30c6\u30ad", "abcde", "abcd", "\u00e9", "aaaaaaaa", "x abcde \U0001f600"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, norm string").select("id", line_dedup._hashes(F.col("norm")).alias("x"))
+    got = {r.id: r.x for r in df.collect()}
+    cut = {i: [t[k : k + 5] for k in range(max(1, len(t) - 4))] for i, t in enumerate(texts)}
+    assert {i: len(x) for i, x in got.items()} == {i: len(x) for i, x in cut.items()}
+    named = {(s, h) for i in cut for s, h in zip(cut[i], got[i], strict=True)}
+    assert len(named) == len({s for s, _ in named}) == len({h for _, h in named})
+
+
 def test_crowded_bands_against_brute_force(spark, monkeypatch):
     """One band of hundreds of clusters: every similar pair that shares it ends in one class."""
     import random
