@@ -166,6 +166,31 @@ def test_sketches_rule_out_overlapping_large_sets(spark):
     assert linked <= fit and not apart & fit and len(linked) > 20 and len(apart) > 40
 
 
+def test_a_pair_of_many_keys_is_made_once(spark, monkeypatch):
+    """A crowd whose members share forty keys, and pairs whose only common key comes after many others, in the last round's join."""
+    from emberlog.llm import cluster
+
+    crowd, keys = range(1, 31), range(100, 140)
+    rows = [(k, n) for k in keys for n in crowd]
+    late = {(201, 202), (203, 204)}
+    for i, n in enumerate(x for pair in sorted(late) for x in pair):  # each shares forty lesser keys with a node of its own
+        rows += [(1000 + 100 * i + k, m) for k in range(40) for m in (n, n + 100)] + [(5000 + n // 203, n)]
+    nodes = sorted({n for _, n in rows})
+    live = spark.createDataFrame([(k, (n, 50, n)) for k, n in rows], "key long, one struct<node:long,n:long,comp:long>")
+    sketches = spark.createDataFrame([(n, 0, 0, 0, 0, None) for n in nodes], "node long, w0 long, w1 long, w2 long, w3 long, wide array<long>")
+    met, made, pairs_of, materialize = [], [], cluster._pairs, cluster.materialize
+    monkeypatch.setattr(cluster, "_pairs", lambda df, p, q: met.append(df) or pairs_of(df, p, q))
+    monkeypatch.setattr(cluster, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(cluster, "PART_ROWS", 100)
+    members, seen = live.select("key", "one.node", "one.n"), []
+    none = lambda pairs: seen.extend((r.a, r.b) for r in pairs.collect()) or pairs.select("ca", "cb").limit(0)
+    monkeypatch.setattr(cluster, "materialize", lambda df, label: (label == "pairs_of_part" and made.append(met[-1].count())) or materialize(df, label))
+    cluster.classes(members, none, 0.85, sketches)
+    own = {(n, n + 100) for pair in late for n in pair}
+    assert sorted(seen) == sorted(set(combinations(crowd, 2)) | late | own)
+    assert sum(made) <= len(seen) + 4 * (40 - cluster.LEAST), "rows of the join"
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (None, 1)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 230)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
