@@ -39,6 +39,10 @@ def row_key(doc_id: str, text: str) -> list[Column]:
     ]
 
 
+def _one_process(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
@@ -47,7 +51,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not _one_process(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file:///tmp/checkpoints/emberlog-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", path)
@@ -86,6 +90,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Lets executors give the free part of their heaps back to the machine, before a phase whose Python workers need room.
+
+    A heap that has grown in one phase stays as large beside the workers of the next one; only full collections shrink it,
+    and the first of two leaves half of it. As many tasks as there are cores reach every executor that is idle; one that
+    gets none merely keeps its heap. Where driver and executors are one process, nothing is done.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    for _ in range(0 if _one_process(spark) else 2):
+        spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Arrow batches of fewer rows for what is written inside: a batch of long texts is held by the JVM and by Python."""

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import SKETCH, classes, folded, hot_keys, shared_keys
-from .common import discard, filtered_by_keys, materialize, release, row_key, small_batches, tidy, worker_cache
+from .common import discard, filtered_by_keys, materialize, release, row_key, shrink_executors, small_batches, tidy, worker_cache
 
 SHINGLE = 4
 #: Least similarity of linked sets, as parts of a hundred.
@@ -253,6 +253,7 @@ class _Texts:
         def verify(batches):
             yield from tidy(_verify(batches, percent))
 
+        shrink_executors(pairs.sparkSession)
         side = lambda x, m: self.nodes.select(F.col("node").alias(x), F.col("mark").alias(m))
         both = pairs.join(side("a", "ma"), "a").join(side("b", "mb"), "b").select("a", "b", "ca", "cb", "na", "nb", "ma", "mb")
         left = materialize(both.mapInArrow(plausible, "a long, b long, ca long, cb long"), "plausible")
@@ -290,6 +291,7 @@ def _connected(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
         yield from tidy(_describe(batches, shingle, bands))
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
+    shrink_executors(spark)
     described = materialize(texts.mapInArrow(describe, DESCRIBED), "described")
     sample = described.filter(F.pmod(F.xxhash64("k_id", "k_hash"), F.lit(SAMPLE)) == 0).select(F.explode("sigs").alias("key"))
     hot, parts = hot_keys(sample, SAMPLE), []
@@ -301,6 +303,7 @@ def _connected(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
     flat = materialize(described.drop("sigs"), "sets")
     discard(described)
     release(spark)
+    shrink_executors(spark)
     row = F.min(F.struct("k_id", "k_hash"))  # one row for each node in question
     nodes = flat.filter("node is not null").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node")
     nodes = nodes.agg(row.alias("row"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max(F.struct("mark", *SKETCH)).alias("marked"))

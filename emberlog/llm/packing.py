@@ -25,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, tidy
+from .common import materialize, shrink_executors, small_batches, tidy
 from .tokens import Encoder
 
 SEQUENCE = 2048
 CELL_WINDOWS = 96
 GRAIN, SLACK = 256, 12
 END_ID = 1
+#: Rows of an Arrow batch.
+BATCH = 500
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -159,5 +161,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         yield from tidy(_pack(batches, tokenizer, sequence, cell))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    with small_batches(docs.sparkSession):  # the pieces are numbers, a small part of the texts: they are written here
+    shrink_executors(docs.sparkSession)
+    with small_batches(docs.sparkSession, BATCH):  # the pieces are numbers, a small part of the texts: they are written here
         return materialize(rows.mapInArrow(task, SCHEMA), "pieces")

@@ -8,6 +8,7 @@ itself, in its default settings.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -35,22 +36,29 @@ class Encoder:
         if known is not None:
             self.__dict__ = known.__dict__
             return
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.path, self._tokenizer = path, None
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.bpe = self._ranks(path)
+        with open(path, encoding="utf-8") as f:
+            content = json.load(f)
+        self.added = tuple(t["content"] for t in content.get("added_tokens", ()))
+        self.bpe = self._ranks(content["model"])
         _WORKER[path] = self
+        del content
         trim()  # the parsed file is several times the vocabulary
 
+    @property
+    def tokenizer(self):
+        """The file in its own library, read when a text first needs it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            trim()
+        return self._tokenizer
+
     @staticmethod
-    def _ranks(path: str):
+    def _ranks(model: dict):
         """The same vocabulary in the faster library; None where the file is not a byte-level BPE."""
-        import json
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
         if model.get("type") != "BPE" or model.get("end_of_word_suffix") or model.get("byte_fallback"):
             return None
         import tiktoken

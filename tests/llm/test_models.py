@@ -110,3 +110,19 @@ def test_tokens_equal_the_tokenizer():
     odd = ["it's  don't\n\n  x\t y ", "<|endoftext|> a", "日本語 text  ok", "a'S '", "", "´x `~ éè’s ‘a’ 12ab34", "x\r\n\r\n  y", "µ a ª º ß x²³ ¼", "tail  ", "\u00a0 nbsp", "a_b __ c"]
     for t in odd:
         assert e(t) == untouched.encode(t, add_special_tokens=False).ids, t
+
+
+def test_memory_before_and_in_packing(spark, monkeypatch):
+    """Heaps are collected, twice, by tasks of their own; the tokenizer's own library is read only for texts that need it."""
+    from emberlog.llm import common, tokens
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collections = lambda: sum(b.getCollectionCount() for b in beans())
+    monkeypatch.setattr(common, "_one_process", lambda spark: False)
+    before = collections()
+    common.shrink_executors(spark)
+    assert collections() >= before + 2
+    monkeypatch.setattr(tokens, "_WORKER", {})
+    e = Encoder(tokenizer_path())
+    assert e("plain text") and e._tokenizer is None
+    assert e("<|endoftext|>") and e._tokenizer is not None
