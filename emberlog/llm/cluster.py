@@ -71,6 +71,16 @@ def shared_keys(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     return counted.filter("lo <> hi or salts is not null").withColumn("many", F.coalesce("many", "own")).drop("lo", "hi", "own", "salt", "salts")
 
 
+def one_key_per_set(members: DataFrame) -> DataFrame:
+    """members (key, node, n) of the least key of those that have the same nodes, as further ones bring no other pairs.
+
+    Sets of nodes are told apart by their sizes and 128 bits of hashes. Keys of a single node are left out.
+    """
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"mark{seed}") for seed in range(2)]
+    sets = members.groupBy("key").agg(F.count("*").alias("m"), *marks).filter("m > 1")
+    return members.join(sets.groupBy("m", "mark0", "mark1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _size_fits(p: str, q: str, ratio: float) -> Column:
     n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
     return F.least(n, m) >= ratio * F.greatest(n, m) - 1e-9

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import SKETCH, classes, folded, hot_keys, shared_keys
+from .cluster import SKETCH, classes, folded, hot_keys, one_key_per_set, shared_keys
 from .common import discard, filtered_by_keys, materialize, release, row_key, shrink_executors, small_batches, tidy, worker_cache
 
 SHINGLE = 4
@@ -308,9 +308,12 @@ def _connected(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
     nodes = flat.filter("node is not null").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node")
     nodes = nodes.agg(row.alias("row"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max(F.struct("mark", *SKETCH)).alias("marked"))
     nodes = materialize(nodes.select("node", "row.k_id", "row.k_hash", "n", "spare", "marked.*"), "nodes")
-    members = materialize(_without_frequent(shared, nodes), "members")
+    kept = materialize(_without_frequent(shared, nodes), "kept")
     discard(*parts)
     release(spark)
+    members = materialize(one_key_per_set(kept), "members")
+    discard(kept)
+    release(spark)
     repeated = not flat.groupBy("k_id", "k_hash").count().filter("count > 1").isEmpty()
     found = classes(members, _Texts(texts, nodes, repeated, shingle, percent).linked, percent / 100, nodes.select("node", *SKETCH, wide_sketch(F.col("mark"), F.col("n")).alias("wide")))
     out = flat.join(found, "node", "left").select("doc_id", "k_id", "k_hash", "n", F.coalesce("component", "node").alias("root"))

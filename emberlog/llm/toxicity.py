@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered_by_keys, materialize, row_key, small_batches, tidy, worker_cache
+from .common import filtered_by_keys, materialize, row_key, small_batches, tidy, trim, worker_cache
 from .labelled import held_out, training_rows
 
 #: Most labelled rows that a model is fitted on.
@@ -243,7 +243,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     made = [(i, y, [[one(w, w) for w in s] for s in d.as_py()]) for i, y, d in zip(*(found.column(c).to_pylist() if c < 2 else found.column(c) for c in range(3)), strict=True)]
     del found
     made.sort()
-    return ToxicityModel().fit([d for _, _, d in made], np.array([y for _, y, _ in made], float))
+    model = ToxicityModel().fit([d for _, _, d in made], np.array([y for _, y, _ in made], float))
+    del made, known, one
+    trim()  # the driver keeps only the model through the stages after this one
+    return model
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: ToxicityModel, known: dict[str, float], names: list[str]) -> Iterator[pa.RecordBatch]:

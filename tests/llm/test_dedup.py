@@ -123,6 +123,36 @@ def test_crowded_signatures_against_brute_force(spark, monkeypatch, hot):
     assert got == want and 50 < len(set(want.values())) < len(texts)
 
 
+def test_keys_of_the_same_members_come_once(spark, monkeypatch):
+    """Copies with one edit share most signatures; each set of members comes once, and no pair is lost."""
+    every, few = [], []
+    without, classes = jaccard_join._without_frequent, jaccard_join.classes
+
+    def kept(*given):
+        out = without(*given)
+        every.extend(out.collect())
+        return out
+
+    def judged(members, *given):
+        few.extend(members.collect())
+        return classes(members, *given)
+
+    monkeypatch.setattr(jaccard_join, "_without_frequent", kept)
+    monkeypatch.setattr(jaccard_join, "classes", judged)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[: 20 * i], f"edit{i}", *base[20 * i + 1 :]]) for i in range(6)] + [" ".join(f"v{i}" for i in range(90 + j)) for j in range(4)]
+    made_classes(spark, texts)
+
+    def sets_of(rows):
+        by = defaultdict(set)
+        for r in rows:
+            by[r.key].add(r.node)
+        return [frozenset(v) for v in by.values() if len(v) > 1]
+
+    before, after = sets_of(every), sets_of(few)
+    assert set(before) == set(after) and len(after) == len(set(after)) < len(before)
+
+
 def test_linked_sets_share_a_signature():
     rng, bands = np.random.default_rng(3), Bands()
     for size in [1, 2, 6, 7, 12, 13, 30, 57, 100, 101, 260, 700, 1500]:
