@@ -221,6 +221,37 @@ def test_a_pair_of_many_keys_is_made_once(spark, monkeypatch):
     assert sum(made) <= len(seen) + 4 * (40 - cluster.LEAST), "rows of the join"
 
 
+def dealt_out(df):
+    """Of the query's plan after it ran: its exchanges by hash, and how many more uses of one there are."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("- Exchange hashpartitioning("), plan.count("ReusedExchange")
+
+
+def test_rows_of_a_key_are_dealt_out_once(spark):
+    """Neither the choice of keys nor the last round's join shuffles the same rows twice; crowded keys still make all pairs."""
+    from pyspark.sql import functions as F
+
+    from emberlog.llm import cluster
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = [(k, k // 3 + i) for k in range(60) for i in range(4)] + [(1000, n) for n in range(cluster.BLOCK + 50)]
+        members = cluster.materialize(spark.createDataFrame([(k, n, 50) for k, n in made], "key long, node long, n long"), "members")
+        one = cluster.one_key_per_set(members)
+        assert dealt_out(one) == (3, 1), "members, once for both uses, a row for each key, and the keys that were chosen"
+        assert {r.key for r in one.collect()} == {*range(0, 60, 3), 1000}
+        live = cluster.materialize(one.select("key", F.struct("node", "n", F.col("node").alias("comp")).alias("one")), "live")
+        spread = cluster.materialize(live.groupBy("key").agg(F.count("*").alias("m")), "spread")
+        few = spread.filter("m < 10")
+        assert dealt_out(cluster._all_pairs(live, few, 0.85, None))[0] == 3, "rows and spread, each for both sides of the join, and the pairs"
+        got = {(r.a, r.b) for r in cluster._all_pairs(live, spread, 0.85, None).collect()}
+        assert got == {p for r in [*range(20), None] for p in combinations(range(cluster.BLOCK + 50) if r is None else range(r, r + 4), 2)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (None, 1)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 230)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
