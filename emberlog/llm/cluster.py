@@ -112,7 +112,7 @@ def _sketches_fit(p: str, q: str, ratio: float) -> Column:
     """Differing bits are never more than differing elements, and linked sets have few of these.
 
     Sets of many elements fill the buckets of SKETCH and have a wide one too; of two wide ones, the larger is folded
-    once, and still larger ones tell nothing.
+    once, and still larger ones tell nothing. Bit maps of the buckets in use serve as well, if all wide ones are of one size.
     """
     most = (F.col(f"{p}.n") + F.col(f"{q}.n")) * ((1 - ratio) / (1 + ratio)) + 1e-9
     bits = sum((F.bit_count(F.col(f"{p}.{w}").bitwiseXOR(F.col(f"{q}.{w}"))) for w in SKETCH), F.lit(0))

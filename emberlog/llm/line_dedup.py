@@ -1,24 +1,27 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A line's features are its shingles of SHINGLE characters (of the trimmed, A-Z lower-cased line; a shorter line
-is its own shingle). The KEEP smallest hashes of the distinct shingles are put into independent orders, each by
-hashing them again. An order is read as a circle, on which RUNS places are evenly spread over the range of
-the hash: a band is the ROWS values that follow a place, so that bands of one order hardly overlap and a line's
-values are sorted once for RUNS bands. All of this happens within a line's row. Equal lines meet before the bands are
-dealt out, and no text is shuffled for them.
-
-Lines that share a band are candidates (cluster.py). They are verified by exact Jaccard of their shingle sets,
-and a distributed union-find joins the verified pairs. One line of each component stays: the first by document
+is its own shingle). An order of the hashes of the distinct shingles is read as a circle, on which places are evenly
+spread over the range of the hash: a band is the ROWS values that follow a place. A line of at least LONG shingles has
+enough values for all BANDS places on the circle of the hashes themselves. For a shorter one, the KEEP smallest hashes
+are put into independent orders, each by hashing them again, with RUNS places each, so that bands of one order hardly
+overlap. A line that is long, but not too long to be like a short one, has the bands of both kinds. All of this happens
+within a line's row. Equal lines meet before the bands are dealt out, and no text is shuffled for them.
+
+Lines that share a band are candidates (cluster.py). Bit maps of their shingles rule out most of the pairs that aren't
+similar; the others are verified by exact Jaccard of their shingle sets, and a distributed union-find joins the verified pairs. One line of each component stays: the first by document
 id and line number. Two lines of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS or little
 less; pairs that share a band are all judged.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import classes, hot_keys, shared_keys
+from .cluster import SKETCH, _sketches_fit, classes, hot_keys, shared_keys
 from .common import ascii_lower, discard, filtered_by_keys, materialize, release, row_key
 
 SHINGLE = 5
@@ -26,10 +29,14 @@ SIMILARITY = 0.8
 #: A pair of the least similarity shares a band with probability 1 - (1 - 0.8**5)**16 = 0.998. Unrelated lines do so
 #: with one that falls with ROWS; on much larger corpora raise it, and BANDS with it.
 BANDS, ROWS = 16, 5
-#: Bands of one order.
+#: Bands of one order of a short line.
 RUNS = 4
-#: Hashes of a line that its bands are taken from.
+#: Hashes of a short line that its bands are taken from.
 KEEP = 96
+#: Distinct shingles from which on a line's bands come from one circle: then places are ten values apart on average.
+LONG = 160
+#: Words of 64 bits of a bit map of many buckets, and the shingles of a line from which on it has one beside a small one.
+WIDE, WIDE_FROM = 16, 400
 #: One line in so many tells which bands are so frequent that their rows are dealt over tasks.
 SAMPLE = 64
 #: Most candidate lines whose hashes (8 bytes each) are broadcast to pick out their texts; more are joined by shuffle.
@@ -60,24 +67,33 @@ def _order(low: Column, k: int) -> Column:
     return F.sort_array(F.transform(low, lambda v: F.xxhash64(v, F.lit(k))))
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """One row per different line: h, its number of distinct shingles n, and its bands b0, b1, ..."""
-    sets = lines.select("h", F.array_distinct(_hashes(F.col("norm"))).alias("x"))
-    low = sets.select("h", F.size("x").cast("long").alias("n"), F.slice(F.sort_array("x"), 1, KEEP).alias("low"))
+def _signatures(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per different line and kind of bands that it has: h, kind, its number of distinct shingles n, and bands b0, b1, ..."""
+    sets = lines.select("h", F.array_distinct(_hashes(F.col("norm"))).alias("x")).withColumn("n", F.size("x").cast("long"))
+    kinds = F.array_compact(F.array(F.when(F.col("n") < LONG / similarity, F.lit(0)), F.when(F.col("n") >= LONG, F.lit(1))))
+    kinds = sets.select("h", "n", "x", F.explode(kinds).alias("kind"))
+    spread = lambda parts: [i * (2**64 // parts) - 2**63 for i in range(parts)]
+    low = F.when(F.col("kind") == 0, F.slice(F.sort_array("x"), 1, KEEP)).alias("low")
+    mixed = F.when(F.col("kind") == 1, F.sort_array(F.concat("x", F.array(*map(F.lit, spread(BANDS)))))).alias("mixed")
+    base = kinds.select("h", "n", "kind", low, mixed)
     count = -(-BANDS // RUNS)
-    orders = low.select("h", "n", *[_order(F.col("low"), k).alias(f"o{k}") for k in range(count)])
-    places = [i * (2**64 // RUNS) - 2**63 for i in range(1, RUNS)]
-    mixed = [F.sort_array(F.concat(f"o{k}", F.array(*map(F.lit, places)))).alias(f"m{k}") for k in range(count)]
+    orders = base.select("h", "n", "kind", "mixed", *[_order(F.col("low"), k).alias(f"o{k}") for k in range(count)])
+    places = spread(RUNS)[1:]
+    mixtures = [F.sort_array(F.concat(f"o{k}", F.array(*map(F.lit, places)))).alias(f"m{k}") for k in range(count)]
     round_ = [F.concat(f"o{k}", F.slice(f"o{k}", 1, ROWS)).alias(f"o{k}") for k in range(count)]
-    circles = orders.select("h", "n", *round_, *mixed)
-    bands = []
+    circles = orders.select("h", "n", "kind", F.concat("mixed", F.slice("mixed", 1, ROWS)).alias("circle"), *round_, *mixtures)
+    short = []
     for k in range(count):
         # before the i-th place stand i - 1 other places and the values below it
         below = [F.lit(0), *[F.array_position(f"m{k}", F.lit(p)) - i for i, p in enumerate(places, 1)]]
-        bands += [F.xxhash64(F.slice(f"o{k}", (x + 1).cast("int"), ROWS), F.lit(k)) for x in below]
-    names = [f"b{i}" for i in range(BANDS)]
-    signed = circles.select("h", "n", *[b.alias(name) for b, name in zip(bands[:BANDS], names, strict=True)])
-    return signed.groupBy("h").agg(F.max("n").alias("n"), *[F.min(b).alias(b) for b in names])
+        short += [F.xxhash64(F.slice(f"o{k}", (x + 1).cast("int"), ROWS), F.lit(k)) for x in below]
+    # places stay among the values: where one comes within ROWS values, all lines have it
+    long = [F.xxhash64(F.slice("circle", (F.array_position("circle", F.lit(p)) + 1).cast("int"), ROWS), F.lit(p)) for p in spread(BANDS)]
+    bands = [F.when(F.col("kind") == 0, x).otherwise(y).alias(f"b{i}") for i, (x, y) in enumerate(zip(short[:BANDS], long, strict=True))]
+    # a lambda function beside them keeps the bands out of one method of the whole stage, which would be too long to be compiled
+    kind = F.element_at(F.transform(F.array("kind"), lambda k: k), 1).alias("kind")
+    signed = circles.select("h", "n", kind, *bands)
+    return signed.groupBy("h", "kind").agg(F.max("n").alias("n"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
 
 
 def _bands(signed: DataFrame) -> DataFrame:
@@ -85,15 +101,40 @@ def _bands(signed: DataFrame) -> DataFrame:
     return signed.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"), F.col("h").alias("node"), "n")
 
 
-def _linked(texts: DataFrame, similarity: float):
+def _bit_maps(texts: DataFrame) -> DataFrame:
+    """(node, SKETCH, wide) of lines (h, norm): the buckets that a line's shingles fall into, as bits.
+
+    Like parities, bits of two lines never differ in more places than their sets have differing elements.
+    """
+    wide = texts.select("h", F.encode("norm", "UTF-32").alias("b"))
+    last = F.greatest(F.octet_length("b") - 4 * SHINGLE + 1, F.lit(1))
+    each = wide.select("h", "b", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("i"))
+    hashed = each.select("h", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(4 * SHINGLE))).alias("v"))
+    bit = hashed.select("h", F.expr(f"shiftright(v, 6) & {WIDE - 1}").alias("word"), F.expr("shiftleft(1L, cast(v & 63 as int))").alias("bit"))
+    words = bit.groupBy("h").agg(F.count("*").alias("c"), *[F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"v{k}") for k in range(WIDE)])
+    small = [reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"v{k}") for k in range(i, WIDE, len(SKETCH))]).alias(w) for i, w in enumerate(SKETCH)]
+    return words.select(F.col("h").alias("node"), *small, F.when(F.col("c") >= WIDE_FROM, F.array(*[f"v{k}" for k in range(WIDE)])).alias("wide"))
+
+
+def _linked(texts: DataFrame, maps: DataFrame, similarity: float):
     """Function from pairs (a, b, ca, cb, na, nb) to the (ca, cb) of those whose lines have the similarity, by exact Jaccard."""
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
-        both = both.join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
+        mapped = pairs
+        for end in "ab":
+            mapped = mapped.join(maps.select(F.col("node").alias(end), F.struct(*SKETCH, "wide").alias(f"of_{end}")), end)
+        mapped = mapped.select(*pairs.columns, *[F.struct(F.col(f"n{end}").alias("n"), f"of_{end}.*").alias(f"of_{end}") for end in "ab"])
+        near = materialize(mapped.filter(_sketches_fit("of_a", "of_b", similarity)).select(*pairs.columns), "near")
+        ends = near.select(F.col("a").alias("h")).unionByName(near.select(F.col("b").alias("h"))).distinct()
+        ends = materialize(ends, "ends")
+        some = filtered_by_keys(texts, ends, ["h"], "left_semi", BROADCAST_LINES)
+        both = near.join(some.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
+        both = both.join(some.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
         common = F.size(F.array_intersect(_hashes(F.col("x")), _hashes(F.col("y"))))
         sized = both.select("ca", "cb", (F.col("na") + F.col("nb")).alias("both"), common.alias("common"))
-        return materialize(sized.filter(F.col("common") >= similarity * (F.col("both") - F.col("common")) - 1e-9).select("ca", "cb"), "links")
+        links = materialize(sized.filter(F.col("common") >= similarity * (F.col("both") - F.col("common")) - 1e-9).select("ca", "cb"), "links")
+        discard(near, ends)
+        return links
 
     return linked
 
@@ -102,15 +143,17 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(h, root) for the lines that have a verified near copy: root is the component's smallest h, a 64-bit hash."""
     lines = lines_of(docs, id_col, text_col)
     some = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col))), F.lit(SAMPLE)) == 0)
-    hot = hot_keys(_bands(_signatures(lines_of(some, id_col, text_col))).select("key"), SAMPLE)
-    members = materialize(shared_keys(_bands(_signatures(lines)), hot).select("key", "node", "n").distinct(), "members")
+    hot = hot_keys(_bands(_signatures(lines_of(some, id_col, text_col), similarity)).select("key"), SAMPLE)
+    members = materialize(shared_keys(_bands(_signatures(lines, similarity)), hot).select("key", "node", "n").distinct(), "members")
     release(docs.sparkSession)
     wanted = materialize(members.select(F.col("node").alias("h")).distinct(), "wanted")
     # where two lines have one h, either may answer for a pair
     texts = materialize(filtered_by_keys(lines.select("h", "norm"), wanted, ["h"], "left_semi", BROADCAST_LINES).distinct(), "lines")
     release(docs.sparkSession)
-    parts = classes(members, _linked(texts, similarity), similarity)
-    discard(members, wanted, texts)
+    maps = materialize(_bit_maps(texts), "maps")
+    release(docs.sparkSession)
+    parts = classes(members, _linked(texts, maps, similarity), similarity, maps)
+    discard(members, wanted, texts, maps)
     release(docs.sparkSession)
     return parts.select(F.col("node").alias("h"), F.col("component").alias("root"))
 
@@ -127,7 +170,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = line_classes(docs, id_col, text_col, similarity)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_hash", "line_no").alias("place")
     key = ["k_id", "k_hash"]
-    lines = lines_of(docs, id_col, text_col).select("h", "g", *key, place)
+    # one pass over the texts for all uses of the lines' names and places
+    lines = materialize(lines_of(docs, id_col, text_col).select("h", "g", *key, place), "named")
     # lines that occur once and have no near copy need no place: counts alone are made for all lines
     counted = lines.groupBy("h", "g").count().join(parts, "h", "left").filter("root is not null or count > 1")
     counted = materialize(counted.select("h", "g", "root"), "counted")
@@ -141,7 +185,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = lines.join(F.broadcast(judged) if judged.count() <= 200_000 else judged, ["h", "g"]).filter("place <> stays")
     gone = gone.select(*key, F.col("place.line_no").alias("line_no")).distinct()
     gone = materialize(gone.groupBy(*key).agg(F.array_sort(F.collect_list("line_no")).alias("dropped")), "dropped")
-    discard(judged)
+    discard(judged, lines)
     release(docs.sparkSession)
     blank = F.size(F.filter(F.split(F.coalesce("__t", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"), *row_key(id_col, text_col))

@@ -378,6 +378,65 @@ def test_crowded_bands_against_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in line_dedup.dropped_lines(docs).collect() if r.n_dropped} == want
 
 
+def test_lines_of_all_lengths_share_bands(spark):
+    """Short and long lines have bands of different kinds; those between have both, so that any similar pair has a kind in common."""
+    import random
+
+    rng = random.Random(21)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).strip() for n in range(100, 300, 2)]
+    docs = spark.createDataFrame(list(enumerate([t for x in lines for t in (x, x[:-14] + x[-1], x + "".join(rng.choice("0123456789") for _ in range(len(x) // 5)))])), "doc_id long, text string")
+    kinds = defaultdict(set)
+    for r in line_dedup._signatures(line_dedup.lines_of(docs, "doc_id", "text")).collect():
+        kinds[r.h, r.n].add(r.kind)
+    long = line_dedup.LONG
+    assert all(k == ({0} if n < long else {0, 1} if n < long / 0.8 else {1}) for (_, n), k in kinds.items())
+    texts = [r.text for r in docs.collect()]
+    pairs = [p for i in range(0, len(texts), 3) for p in combinations(range(i, i + 3), 2)]
+    want = line_clusters(texts, pairs)
+    got = {r.doc_id for r in line_dedup.dropped_lines(docs).collect() if r.n_dropped}
+    assert len(want) > 100 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_bit_maps_rule_out_unlike_lines(spark, monkeypatch):
+    """Lines that share a band but little else are ruled out before their texts are compared, similar ones never."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "BANDS", 1)
+    monkeypatch.setattr(line_dedup, "ROWS", 1)
+    rng = random.Random(8)
+    common = "this beginning is shared by all of them "
+    lines = []
+    for size in [40] * 60 + [200] * 60 + [900] * 20:
+        line = common + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+        lines += [line, line[:-3] + "#" + line[-2:]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    counts, write = defaultdict(int), line_dedup.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        counts[label] += out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    pairs, classes = [], line_dedup.classes
+
+    def watched(members, linked, *rest):
+        return classes(members, lambda p: (pairs.append(p.count()), linked(p))[1], *rest)
+
+    monkeypatch.setattr(line_dedup, "classes", watched)
+    gone = {r.doc_id for r in line_dedup.dropped_lines(docs).collect() if r.n_dropped}
+    assert all(i % 2 for i in gone) and len(gone) > 60
+    assert sum(pairs) > 0 and counts["near"] <= 2 * len(lines)
+    found = {r.h: r.doc_id for r in line_dedup.lines_of(docs, "doc_id", "text").select("h", "doc_id").collect()}
+    maps = {found[r.node]: r for r in line_dedup._bit_maps(line_dedup.lines_of(docs, "doc_id", "text").select("h", "norm")).collect()}
+    cut = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+    bits = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    for i, j in combinations(range(0, len(lines), 7), 2):
+        a, b, unlike = maps[i], maps[j], len(cut(lines[i]) ^ cut(lines[j]))
+        assert sum(bits(a[w], b[w]) for w in ("w0", "w1", "w2", "w3")) <= unlike
+        assert not (a.wide and b.wide) or sum(map(bits, a.wide, b.wide)) <= unlike
+
+
 def test_one_edit_in_a_line_of_sixty_bytes(spark):
     """One changed character in the middle of 60 different ones leaves 51 of 61 shingles of 5 characters: 0.84."""
     line = "".join(chr(i) for i in range(48, 65)) + "".join(chr(i) for i in range(97, 123)) + "[]_{|}~!$%&()*+,-"
