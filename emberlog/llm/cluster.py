@@ -159,12 +159,12 @@ def _all_pairs(live: DataFrame, spread: DataFrame, ratio: float, judged: DataFra
     return _pairs(pairs, "one", "other")
 
 
-def _all_pairs_in_parts(live: DataFrame, spread: DataFrame, ratio: float, judged: DataFrame, parts: int) -> DataFrame:
+def _all_pairs_in_parts(live: DataFrame, spread: DataFrame, ratio: float, judged: DataFrame, parts: int, tidy: Callable) -> DataFrame:
     found = []
     for number in range(parts):
         mine = F.pmod(F.xxhash64("key"), F.lit(parts)) == number
         found.append(materialize(_all_pairs(live.filter(mine), spread.filter(mine), ratio, judged), "pairs_of_part"))
-        release(live.sparkSession)
+        tidy(live.sparkSession)
     out = materialize(reduce(DataFrame.unionByName, found).distinct(), "pairs")
     discard(*found)
     return out
@@ -178,14 +178,17 @@ def _pairs(met: DataFrame, p: str, q: str) -> DataFrame:
     return met.select(*[side(*(p, q) if end == "a" else (q, p), names[k]).alias(k + end) for k in names for end in "ab"]).distinct()
 
 
-def classes(members: DataFrame, linked: Callable[[DataFrame], DataFrame], ratio: float, sketches: DataFrame | None = None) -> DataFrame:
+def classes(members: DataFrame, linked: Callable[[DataFrame], DataFrame], ratio: float, sketches: DataFrame | None = None, sparing: bool = True) -> DataFrame:
     """(node, component) of every node that has a link to another.
 
     members: distinct (key, node, n), keys with several nodes. linked: the (ca, cb) of those of the pairs (a, b, ca,
     cb, na, nb) that are verified, as a written table. ratio: the least Jaccard similarity of linked nodes, sets of n
     elements. sketches: (node, SKETCH, wide) of all nodes; wide: a sketch of more buckets for sets of many elements, else null.
+    sparing: shuffle files go as soon as a step's result is written; else they stay till the caller releases them, for
+    members that are few beside what was dealt out before, as each time costs a pause.
     """
     spark = members.sparkSession
+    tidy = release if sparing else lambda _: None
     live = members.select("key", F.struct(F.col("node"), F.col("n"), F.col("node").alias("comp")).alias("one"))
     parts, old, before = None, [], None
     for number in range(STAR_ROUNDS + 1):
@@ -204,17 +207,17 @@ def classes(members: DataFrame, linked: Callable[[DataFrame], DataFrame], ratio:
         if number:
             live = materialize(live.join(spread.select("key"), "key", "left_semi"), "live")
         discard(*old)
-        release(spark)
+        tidy(spark)
         few = pairs_left <= PAIRS_PER_ROW * rows or number > 1 and rows > (1 - PROGRESS) * before
         every, before = number == STAR_ROUNDS or number > 0 and few, rows
         judged = _judged(live, sketches) if every and sketches is not None else None
         if judged is not None and rows > PART_ROWS:
-            pairs = _all_pairs_in_parts(live, spread, ratio, judged, PARTS)
+            pairs = _all_pairs_in_parts(live, spread, ratio, judged, PARTS, tidy)
         else:
             pairs = materialize(_all_pairs(live, spread, ratio, judged) if every else _heads(live, spread, number, ratio), "pairs")
         if judged is not None:
             discard(judged)
-        release(spark)
+        tidy(spark)
         links = linked(pairs)
         discard(pairs)
         merged = materialize(connected_components(links, "ca", "cb"), "merged")
@@ -225,7 +228,7 @@ def classes(members: DataFrame, linked: Callable[[DataFrame], DataFrame], ratio:
             kept = parts.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
             parts = materialize(kept.unionByName(merged.join(parts.select("node"), "node", "left_anti")), "parts")
         old = [live, spread]
-        release(spark)
+        tidy(spark)
         if every:
             discard(*old)
             break

@@ -36,7 +36,7 @@ KEEP = 96
 #: Distinct shingles from which on a line's bands come from one circle: then places are ten values apart on average.
 LONG = 160
 #: Words of 64 bits of a bit map of many buckets, and the shingles of a line from which on it has one beside a small one.
-WIDE, WIDE_FROM = 16, 400
+WIDE, WIDE_FROM = 16, 100
 #: One line in so many tells which bands are so frequent that their rows are dealt over tasks.
 SAMPLE = 64
 #: Most candidate lines whose hashes (8 bytes each) are broadcast to pick out their texts; more are joined by shuffle.
@@ -139,23 +139,29 @@ def _linked(texts: DataFrame, maps: DataFrame, similarity: float):
     return linked
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(h, root) for the lines that have a verified near copy: root is the component's smallest h, a 64-bit hash."""
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(h, root) for the lines that have a verified near copy: root is the component's smallest h, a 64-bit hash.
+
+    Second, (h, g, k_id, k_hash, place, norm) of all lines, as a written table: texts of candidates only, made in the same pass.
+    """
     lines = lines_of(docs, id_col, text_col)
     some = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col))), F.lit(SAMPLE)) == 0)
     hot = hot_keys(_bands(_signatures(lines_of(some, id_col, text_col), similarity)).select("key"), SAMPLE)
     members = materialize(shared_keys(_bands(_signatures(lines, similarity)), hot).select("key", "node", "n").distinct(), "members")
     release(docs.sparkSession)
     wanted = materialize(members.select(F.col("node").alias("h")).distinct(), "wanted")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_hash", "line_no").alias("place")
+    marked = wanted.withColumn("candidate", F.lit(True))
+    named = lines.join(F.broadcast(marked) if wanted.count() <= BROADCAST_LINES else marked, "h", "left")
+    named = materialize(named.select("h", "g", "k_id", "k_hash", place, F.when(F.col("candidate"), F.col("norm")).alias("norm")), "named")
     # where two lines have one h, either may answer for a pair
-    texts = materialize(filtered_by_keys(lines.select("h", "norm"), wanted, ["h"], "left_semi", BROADCAST_LINES).distinct(), "lines")
+    texts = materialize(named.filter("norm is not null").select("h", "norm").distinct(), "lines")
     release(docs.sparkSession)
     maps = materialize(_bit_maps(texts), "maps")
-    release(docs.sparkSession)
-    parts = classes(members, _linked(texts, maps, similarity), similarity, maps)
+    parts = classes(members, _linked(texts, maps, similarity), similarity, maps, False)
     discard(members, wanted, texts, maps)
     release(docs.sparkSession)
-    return parts.select(F.col("node").alias("h"), F.col("component").alias("root"))
+    return parts.select(F.col("node").alias("h"), F.col("component").alias("root")), named
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -167,11 +173,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and empty texts have no lines. Lines of any length are read whole. An empty table gives an empty result. Other
     columns are not read. Near copies are known by a 64-bit hash of the line, equal lines by 128 bits.
     """
-    parts = line_classes(docs, id_col, text_col, similarity)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_hash", "line_no").alias("place")
+    parts, named = line_classes(docs, id_col, text_col, similarity)
     key = ["k_id", "k_hash"]
-    # one pass over the texts for all uses of the lines' names and places
-    lines = materialize(lines_of(docs, id_col, text_col).select("h", "g", *key, place), "named")
+    lines = named.drop("norm")
     # lines that occur once and have no near copy need no place: counts alone are made for all lines
     counted = lines.groupBy("h", "g").count().join(parts, "h", "left").filter("root is not null or count > 1")
     counted = materialize(counted.select("h", "g", "root"), "counted")
@@ -185,7 +189,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = lines.join(F.broadcast(judged) if judged.count() <= 200_000 else judged, ["h", "g"]).filter("place <> stays")
     gone = gone.select(*key, F.col("place.line_no").alias("line_no")).distinct()
     gone = materialize(gone.groupBy(*key).agg(F.array_sort(F.collect_list("line_no")).alias("dropped")), "dropped")
-    discard(judged, lines)
+    discard(judged, named)
     release(docs.sparkSession)
     blank = F.size(F.filter(F.split(F.coalesce("__t", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"), *row_key(id_col, text_col))

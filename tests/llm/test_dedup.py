@@ -437,6 +437,34 @@ def test_bit_maps_rule_out_unlike_lines(spark, monkeypatch):
         assert not (a.wide and b.wide) or sum(map(bits, a.wide, b.wide)) <= unlike
 
 
+def test_middling_lines_are_ruled_out_and_texts_read_once(spark, monkeypatch):
+    """Bit maps tell lines of 300 characters apart, and one pass writes names and places of all lines, texts of candidates only."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "BANDS", 1)
+    monkeypatch.setattr(line_dedup, "ROWS", 1)
+    rng = random.Random(31)
+    letters = lambda size: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+    common = letters(200)
+    lines = [common + letters(75) for _ in range(40)]
+    lines += [lines[0][:-3] + "#" + lines[0][-2:], "alone"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    tables, write = defaultdict(list), line_dedup.materialize
+
+    def kept(df, label):
+        out = write(df, label)
+        tables[label] += out.collect()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", kept)
+    pairs, classes = [], line_dedup.classes
+    monkeypatch.setattr(line_dedup, "classes", lambda members, linked, *rest: classes(members, lambda p: (pairs.append(p.count()), linked(p))[1], *rest))
+    assert {r.doc_id for r in line_dedup.dropped_lines(docs).collect() if r.n_dropped} == {40}
+    assert sum(pairs) >= 20 and len(tables["near"]) <= 2
+    texts = {r.place.doc_id: r.norm for r in tables["named"]}
+    assert len(tables["named"]) == len(lines) and texts[41] is None and texts[0] == lines[0]
+
+
 def test_one_edit_in_a_line_of_sixty_bytes(spark):
     """One changed character in the middle of 60 different ones leaves 51 of 61 shingles of 5 characters: 0.84."""
     line = "".join(chr(i) for i in range(48, 65)) + "".join(chr(i) for i in range(97, 123)) + "[]_{|}~!$%&()*+,-"
